@@ -126,8 +126,16 @@ def _prepare(similarity: float, length_tol: float, angle_tol: float):
             lengths, angles = np.sort(par[:, :3], 1), np.sort(par[:, 3:], 1)
             logn = np.log(s.n.clip(1))
             n_reach = -np.log(similarity) + 1e-6
+            small = _small_limit(similarity)
+            mol = keep[~s.crystal[keep] & (s.n[keep] <= small)]
+            own = [_shared_keys(s.z[s.off[i] : s.off[i + 1]], similarity) for i in mol]
+            rows.append(np.repeat(mol, [len(o) for o in own]))
+            nodes.append(np.array([x for o in own for x in o], np.int64))
+            visit.append(np.zeros(len(rows[-1]), bool))
             for kind in (True, False):
                 k = keep[s.crystal[keep] == kind]
+                if not kind:  # partners of larger molecules; pairs of small ones meet by their shared atoms
+                    k = k[s.n[k] >= np.ceil(similarity * (small + 1) - 1e-9)]
                 if kind:
                     dims = [(np.log(lengths[k, d]), LEN_BIN, -np.log(1 - length_tol) + 1e-4) for d in range(3)]
                     dims += [(angles[k, d] + ANGLE_BIN / 2, ANGLE_BIN, angle_tol + 1e-4) for d in range(3)]
@@ -151,6 +159,36 @@ def _prepare(similarity: float, length_tol: float, angle_tol: float):
     return run
 
 
+_ATOM = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+_ATOM = ((_ATOM ^ (_ATOM >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(8)
+_KEY_MASK, _KEY_MARK = (1 << 59) - 1, 1 << 61
+
+
+def _small_limit(similarity: float) -> int:
+    """Largest number of sites of which at most two may be missing."""
+    return max(n for n in range(1, 1000) if n - int(np.ceil(similarity * n - 1e-9)) <= 2)
+
+
+def atoms_key(counts: np.ndarray) -> int:
+    """Node of molecules that share exactly these atoms (counts by atomic number)."""
+    return int((counts.astype(np.uint64) * _ATOM[: len(counts)]).sum() & np.uint64(_KEY_MASK)) | _KEY_MARK
+
+
+def _shared_keys(z: np.ndarray, similarity: float) -> list[int]:
+    """Nodes of a molecule: of all its atoms, and of what is left when any one or two that may be missing are taken away."""
+    counts = np.bincount(z, minlength=128)
+    miss = len(z) - int(np.ceil(similarity * len(z) - 1e-9))
+    kinds = np.flatnonzero(counts)
+    keys = []
+    for m in range(miss + 1):
+        for gone in itertools.combinations_with_replacement(kinds, m):
+            left = counts.copy()
+            np.subtract.at(left, list(gone), 1)
+            if left.min() >= 0 and left.sum():
+                keys.append(atoms_key(left))
+    return keys
+
+
 class _Members:
     """Decoded rows of one or more whole nodes, sorted by node, composition word and cell word in Gray order."""
 
@@ -173,6 +211,7 @@ class _Members:
         order = np.lexsort((gray_rank(cell), gray_rank(cell & COARSE), gray_rank(comp), top))
         self.order = order
         self.top, self.comp, self.cell, self.n, self.par = top[order], comp[order], cell[order], n[order], par[order]
+        self.node = node[order]
         self.id, self.visit = np.asarray(get("id"))[order], np.asarray(get("visit"))[order]
         self.crystal = np.isfinite(self.par).all(1)
         pos = np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1][order], self.n) + _arange(self.n)
@@ -193,81 +232,100 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _descend(m: _Members, similarity: float, cell_reach: int, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (i, j) of members, i before j: pairs of groups go down the levels of the index while the differences allow it."""
-    levels = [_starts(m.top, m.comp, m.n), _starts(m.top, m.comp, m.n, m.cell & COARSE), np.arange(len(m.n))]
+def _descend(m: _Members, similarity: float, cell_reach: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (i, j) of members: pairs of groups go down the levels of the index while the differences allow it.
+
+    Levels: node, composition word, masked cell word, member. Every group is a range of members; its children are a range of the next level.
+    """
+    last = 3
+    levels = [_starts(m.top), _starts(m.top, m.comp, m.n), _starts(m.top, m.comp, m.n, m.cell & COARSE), np.arange(len(m.n))]
     ends = [np.append(s[1:], len(m.n)) for s in levels]
-    # children of each group, as ranges of the next level
-    child = [(np.searchsorted(levels[i + 1], levels[i]), np.searchsorted(levels[i + 1], ends[i])) for i in range(2)]
+    child = [(np.searchsorted(levels[i + 1], levels[i]), np.searchsorted(levels[i + 1], ends[i])) for i in range(last)]
+    field = [np.uint64(((1 << CELL_BITS) - 1) << (d * CELL_BITS)) for d in range(3)]
 
-    def prune(level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keep(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         i, j = levels[level][a], levels[level][b]
-        if level == 0:
+        if level == 1:
             big, small = np.maximum(m.n[i], m.n[j]), np.minimum(m.n[i], m.n[j])
             need = np.ceil(similarity * big - 1e-9).astype(np.int64)
-            ok = (small >= need) & (popcount(m.comp[i] ^ m.comp[j]) <= big + small - 2 * need)
-        elif level == 1:
-            # a masked word sees one bit in four: a step of d levels changes at most d / 4 + 1 of them, for each length
-            ok = popcount((m.cell[i] ^ m.cell[j]) & COARSE) <= 3 * (cell_reach // 4 + 1)
-        else:
-            diff, ok = m.cell[i] ^ m.cell[j], np.ones(len(i), bool)
-            for d in range(3):
-                ok &= popcount(diff & np.uint64(((1 << CELL_BITS) - 1) << (d * CELL_BITS))) <= cell_reach
-            ok &= ~(m.visit[i] & m.visit[j])
-        return a[ok], b[ok]
-
-    def expand(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            return (small >= need) & (popcount(m.comp[i] ^ m.comp[j]) <= big + small - 2 * need) & ((a != b) | (ends[1][a] - i > 1))
         if level == 2:
+            # the mask sees one bit in four: d levels change at most d / 4 + 1 of them, for each length
+            return (popcount((m.cell[i] ^ m.cell[j]) & COARSE) <= 3 * (cell_reach // 4 + 1)) & ((a != b) | (ends[2][a] - i > 1))
+        diff, ok = m.cell[i] ^ m.cell[j], ~(m.visit[i] & m.visit[j])
+        for f in field:
+            ok &= popcount(diff & f) <= cell_reach
+        return ok
+
+    def down(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if level == last:
             yield a, b
             return
         lo, hi = child[level]
-        na, nb = hi[a] - lo[a], hi[b] - lo[b]
-        at = np.concatenate([[0], np.cumsum(na * nb)])
+        size = (hi[a] - lo[a]) * (hi[b] - lo[b])
+        at = np.concatenate([[0], np.cumsum(size)])
         k = 0
         while k < len(a):
             e = max(k + 1, int(np.searchsorted(at, at[k] + chunk, "right")) - 1)
-            reps = (na * nb)[k:e]
-            if e == k + 1 and reps[0] > chunk:  # two large groups: in strips
-                step = max(1, chunk // int(nb[k]))
-                parts = [(np.repeat(np.arange(x, min(x + step, hi[a[k]])), nb[k]), np.tile(np.arange(lo[b[k]], hi[b[k]]), min(step, hi[a[k]] - x))) for x in range(lo[a[k]], hi[a[k]], step)]
-            else:
-                w, within = np.repeat(np.arange(k, e), reps), _arange(reps)
-                parts = [(lo[a[w]] + within // nb[w], lo[b[w]] + within % nb[w])]
-            for ca, cb in parts:
-                same = levels[level][a[k:e]][0] == levels[level][b[k:e]][0] and e == k + 1
-                half = ca <= cb if level == 0 else ca < cb
-                if same or (a[k:e] == b[k:e]).any():  # within one group each pair once
-                    ca, cb = ca[half], cb[half]
-                ca, cb = prune(level + 1, ca, cb)
-                if len(ca):
-                    yield from expand(level + 1, ca, cb)
+            wide = hi[b[k]] - lo[b[k]]
+            strips = [(lo[a[k]], hi[a[k]])]
+            if size[k] > chunk:  # two large groups: in strips
+                step = max(1, chunk // wide)
+                strips = [(x, min(x + step, hi[a[k]])) for x in range(lo[a[k]], hi[a[k]], step)]
+            for x, y in strips:
+                if e > k + 1:
+                    w = np.repeat(np.arange(k, e), size[k:e])
+                    within = _arange(size[k:e])
+                    width = hi[b[w]] - lo[b[w]]
+                    ca, cb = lo[a[w]] + within // width, lo[b[w]] + within % width
+                    own = a[w] == b[w]
+                else:
+                    ca, cb = np.repeat(np.arange(x, y), wide), np.tile(np.arange(lo[b[k]], hi[b[k]]), y - x)
+                    own = np.full(len(ca), a[k] == b[k])
+                # within one group each pair once; a group is paired with itself for the pairs inside it
+                once = ~own | (ca < cb) | ((ca == cb) & (level + 1 < last))
+                ca, cb = ca[once], cb[once]
+                ok = keep(level + 1, ca, cb)
+                if ok.any():
+                    yield from down(level + 1, ca[ok], cb[ok])
             k = e
 
-    # the top: all pairs of composition groups of a node, in strips
-    node_first = _starts(m.top[levels[0]])
-    node_end = np.append(node_first[1:], len(levels[0]))
-    for s, e in zip(node_first, node_end):
-        for lo in range(s, e, max(1, chunk // (e - s))):
-            hi = min(e, lo + max(1, chunk // (e - s)))
-            a, b = np.repeat(np.arange(lo, hi), e - s), np.tile(np.arange(s, e), hi - lo)
-            keep = a <= b
-            a, b = prune(0, a[keep], b[keep])
-            # groups of one member have no pair within themselves
-            lone = (a == b) & (ends[0][a] - levels[0][a] == 1)
-            a, b = a[~lone], b[~lone]
-            if len(a):
-                yield from expand(0, a, b)
+    top = np.arange(len(levels[0]))
+    many = ends[0] - levels[0] > 1
+    yield from down(0, top[many], top[many])
+
+
+def _batched(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in pairs:
+        held.append(p)
+        if sum(len(x[0]) for x in held) >= size:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _meet_here(m: _Members, i: int, j: int, small: int) -> bool:
+    """Molecules share several nodes: they are compared in that of all their common atoms, or in the coarse one if either is large."""
+    by_atoms = bool(int(m.node[i]) & _KEY_MARK)
+    if max(m.n[i], m.n[j]) > small:
+        return not by_atoms
+    if not by_atoms:
+        return False
+    counts = [np.bincount(m.sites.z[k, : m.n[k]], minlength=128) for k in (i, j)]
+    return atoms_key(np.minimum(*counts)) == int(m.node[i])
 
 
 def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: float):
     """Sorted index rows of a partition to links; holds the rows of one node tile, or of several small ones, at a time."""
-    cell_reach = int(np.ceil(-np.log(1 - length_tol) / LEVEL)) + 1
+    cell_reach, small = int(np.ceil(-np.log(1 - length_tol) / LEVEL)) + 1, _small_limit(similarity)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         m = _Members(t)
         # exact copies from different tasks: the same body in the same home node
-        for i, j in _descend(m, similarity, cell_reach):
+        for i, j in _batched(_descend(m, similarity, cell_reach)):
             need = np.ceil(similarity * np.maximum(m.n[i], m.n[j]) - 1e-9).astype(np.int64)
             swap = m.n[j] > m.n[i]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -277,7 +335,7 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
             ci, cj = i[kind][pair], j[kind][pair]
             ok = coincide(m.sites, m.sites, ci, cj, turn, metric(m.par[ci]), need[kind][pair], site_tol)
             mol = np.flatnonzero(~m.crystal[i] & ~m.crystal[j])
-            hit = [k for k in mol if _same_molecule(m.sites, i[k], j[k], int(need[k]), site_tol)]
+            hit = [k for k in mol if _meet_here(m, i[k], j[k], small) and _same_molecule(m.sites, i[k], j[k], int(need[k]), site_tol)]
             a, b = np.concatenate([m.id[ci[ok]], m.id[i[hit]]]), np.concatenate([m.id[cj[ok]], m.id[j[hit]]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
@@ -317,7 +375,7 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
     like = za[:, None] == zb[None]
     if (like.any(1)).sum() < need:
         return False
-    da, db = np.linalg.norm(xa[:, None] - xa[None], axis=2), np.linalg.norm(xb[:, None] - xb[None], axis=2)
+    da, db = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) for x in (xa, xb))
     # sites of a that see at least need - 1 like distances from some site of b
     rank = np.argsort(np.where(like.any(1), like.sum(1), 99), kind="stable")
     left, miss = list(rank), n - need
@@ -325,43 +383,40 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
         left = [r for r in left if like[r].any()]
         if len(left) < min(3, n):
             left = list(rank)
-        tri = _triple(xa, left)
+        tri = _triple(da, left)
         for p in tri:
             left.remove(p)
-        pools = [np.flatnonzero(like[p]) for p in tri]
-        cand = [(b,) for b in pools[0]]
+        cand = np.flatnonzero(like[tri[0]])[:, None]
         for q in range(1, len(tri)):
-            cand = [c + (b,) for c in cand for b in pools[q] if b not in c and all(abs(db[b, c[w]] - da[tri[q], tri[w]]) <= 3 * tol for w in range(q))]
+            near = like[tri[q]][None] & np.logical_and.reduce([np.abs(db[cand[:, w]] - da[tri[q], tri[w]]) <= 3 * tol for w in range(q)])
+            near[np.arange(len(cand))[:, None], cand] = False
+            at, b = np.nonzero(near)
+            cand = np.column_stack([cand[at], b])
         for c in cand:
             rot, off = _fit(xa[tri], xb[list(c)])
             for radius in (4 * tol, 2 * tol, 1.5 * tol):
-                d = np.linalg.norm((xa @ rot + off)[:, None] - xb[None], axis=2)
-                d[~like] = 1e9
+                d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
                 at = d.argmin(1)
                 hit = (d[np.arange(n), at] <= radius) & (d.argmin(0)[at] == np.arange(n))
                 if hit.sum() < need:
                     break
                 rot, off = _fit(xa[hit], xb[at[hit]])
             else:
-                d = np.linalg.norm((xa @ rot + off)[:, None] - xb[None], axis=2)
-                d[~like] = 1e9
+                d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
                 at = d.argmin(1)
                 if ((d[np.arange(n), at] <= tol + 1e-4) & (d.argmin(0)[at] == np.arange(n))).sum() >= need:
                     return True
     return False
 
 
-def _triple(x: np.ndarray, left: list[int]) -> list[int]:
-    """The first of `left`, the site farthest from it among the next ones, and a third one off their line."""
-    p = left[0]
-    pool = left[1:8]
+def _triple(d: np.ndarray, left: list[int]) -> list[int]:
+    """The first of `left`, the site farthest from it among the next ones, and a third one off their line; d: distances."""
+    p, pool = left[0], left[1:8]
     if not pool:
         return [p]
-    q = max(pool, key=lambda w: np.linalg.norm(x[w] - x[p]))
+    q = pool[int(d[p, pool].argmax())]
     rest = [w for w in pool if w != q]
-    if not rest:
-        return [p, q]
-    return [p, q, max(rest, key=lambda w: np.linalg.norm(np.cross(x[w] - x[p], x[q] - x[p])))]
+    return [p, q, rest[int((d[p, rest] + d[q, rest]).argmax())]] if rest else [p, q]
 
 
 def _fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
