@@ -179,11 +179,11 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
             for k in range(0, len(h), step):
                 q = slice(k, k + step)
                 live = h[q]
-                d, hit = _near(xa[live], xb[live], shift[q], g[sel[live]], like[live], (2 * tol) ** 2)
-                enough = hit.sum(1) >= need[sel[live]]
+                enough = _touched(xa[live], xb[live], shift[q], g[sel[live]], like[live], (2 * tol) ** 2) >= need[sel[live]]
                 if not enough.any():
                     continue
-                live, sh, d, hit = live[enough], shift[q][enough], d[enough], hit[enough]
+                live, sh = live[enough], shift[q][enough]
+                d, hit = _near(xa[live], xb[live], sh, g[sel[live]], like[live], (2 * tol) ** 2)
                 for _ in range(2):
                     mean = (d * hit[..., None]).sum(1) / hit.sum(1)[:, None].clip(1)
                     sh = sh + mean
@@ -193,6 +193,23 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
     return good
 
 
+def _touched(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray, r2: float) -> np.ndarray:
+    """How many sites of a have a like site of b within r, after the shift."""
+    h, i, j = np.nonzero(like)
+    d = xb[h, j] - xa[h, i] - shift[h]
+    d -= np.rint(d)
+    near = _quadratic(d, g.astype(np.float32), h) <= r2
+    key = h[near] * xa.shape[1] + i[near]
+    return np.bincount(np.unique(key) // xa.shape[1], minlength=len(xa))
+
+
+def _quadratic(d: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """d' g d for each row, with the metric tensor of its pair."""
+    x, y, z = d.T
+    g = g.reshape(len(g), 9)
+    return x * x * g[h, 0] + y * y * g[h, 4] + z * z * g[h, 8] + 2 * (x * y * g[h, 1] + x * z * g[h, 2] + y * z * g[h, 5])
+
+
 def _near(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each site of a, the step to its nearest like site of b, and whether that is near; no two sites share a partner nearer than r."""
     d = xb[:, None] - (xa + shift[:, None])[:, :, None]
