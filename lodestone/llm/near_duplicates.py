@@ -394,7 +394,7 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
             cand = np.column_stack([cand[at], b])
         for c in cand:
             rot, off = _fit(xa[tri], xb[list(c)])
-            for radius in (4 * tol, 2 * tol, 1.5 * tol):
+            for radius in (3 * tol, 1.5 * tol):
                 d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
                 at = d.argmin(1)
                 hit = (d[np.arange(n), at] <= radius) & (d.argmin(0)[at] == np.arange(n))
