@@ -1,4 +1,4 @@
-"""All core queries: the general data-processing problems and the reference's operators."""
+"""All core queries: the general data-processing problems and the operators on structures, phases and series."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import problems
+from lodestone.plans import problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.queries()
+    return problems.queries() | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return problems.oracle_sql() | reference.SQL
