@@ -142,7 +142,7 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
 
     x are fractions of the cell; turn: how often the axes of b are renamed; g: the metric tensor of a. Origins are tried that lay
     one of n - need + 1 sites of a, rarest elements first, on each like site of b: one of them must be among the coinciding ones.
-    An origin that brings need sites to within 2 tol is then centred on them twice and counted at tol.
+    An origin that brings need sites to within 2 tol is then centred on them up to three times and counted at tol.
     """
     good = np.zeros(len(ia), bool)
     if not len(ia):
@@ -183,13 +183,19 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
                 if not enough.any():
                     continue
                 live, sh = live[enough], shift[q][enough]
-                d, hit = _near(xa[live], xb[live], sh, g[sel[live]], like[live], (2 * tol) ** 2)
-                for _ in range(2):
-                    mean = (d * hit[..., None]).sum(1) / hit.sum(1)[:, None].clip(1)
-                    sh = sh + mean
-                    d, hit = _near(xa[live], xb[live], sh, g[sel[live]], like[live], (1.5 * tol) ** 2)
-                _, hit = _near(xa[live], xb[live], sh, g[sel[live]], like[live], (tol + 1e-4) ** 2)
-                good[sel[live[hit.sum(1) >= need[sel[live]]]]] = True
+                # centre the origin on what coincides; any origin at which enough sites coincide will do
+                for radius in (2 * tol, 1.5 * tol, 1.5 * tol):
+                    d, best, mutual = _near(xa[live], xb[live], sh, g[sel[live]], like[live])
+                    wanted = need[sel[live]]
+                    done = ((best <= (tol + 1e-4) ** 2) & mutual).sum(1) >= wanted
+                    good[sel[live[done]]] = True
+                    hit = (best <= radius**2) & mutual
+                    more = ~done & (hit.sum(1) >= wanted)
+                    if not more.any():
+                        break
+                    hit = hit[more].astype(np.float32)
+                    sh = sh[more] + (d[more] * hit[..., None]).sum(1) / hit.sum(1)[:, None]
+                    live = live[more]
     return good
 
 
@@ -210,17 +216,12 @@ def _quadratic(d: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x * x * g[h, 0] + y * y * g[h, 4] + z * z * g[h, 8] + 2 * (x * y * g[h, 1] + x * z * g[h, 2] + y * z * g[h, 5])
 
 
-def _near(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each site of a, the step to its nearest like site of b, and whether that is near; no two sites share a partner nearer than r."""
+def _near(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each site of a: the step to its nearest like site of b, its squared length, and whether the two are nearest to each other."""
     d = xb[:, None] - (xa + shift[:, None])[:, :, None]
-    d -= np.round(d)
-    g = g.astype(np.float32)
-    e = np.matmul(d.reshape(len(d), -1, 3), g).reshape(d.shape)
-    dist = np.einsum("hijk,hijk->hij", d, e)
-    dist = np.where(like, dist, np.float32(1e9))
-    at = dist.argmin(2)
-    best = np.take_along_axis(dist, at[:, :, None], 2)[:, :, 0]
-    back = dist.argmin(1)
-    mutual = np.take_along_axis(back, at, 1) == np.arange(xa.shape[1])[None]
-    step = np.take_along_axis(d, at[:, :, None, None].repeat(3, 3), 2)[:, :, 0]
-    return step, (best <= r2) & mutual
+    d -= np.rint(d)
+    e = np.matmul(d.reshape(len(d), -1, 3), g.astype(np.float32)).reshape(d.shape)
+    dist = np.where(like, np.einsum("hijk,hijk->hij", d, e), np.float32(1e9))
+    at, back = dist.argmin(2), dist.argmin(1)
+    h, i = np.arange(len(d))[:, None], np.arange(xa.shape[1])[None]
+    return d[h, i, at], dist[h, i, at], back[h, at] == i
