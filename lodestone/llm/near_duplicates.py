@@ -378,7 +378,7 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
     da, db = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) for x in (xa, xb))
     # sites of a that see at least need - 1 like distances from some site of b
     rank = np.argsort(np.where(like.any(1), like.sum(1), 99), kind="stable")
-    left, miss = list(rank), n - need
+    left, miss, every = list(rank), n - need, np.arange(n)
     for _ in range(miss + 1):
         left = [r for r in left if like[r].any()]
         if len(left) < min(3, n):
@@ -394,18 +394,16 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
             cand = np.column_stack([cand[at], b])
         for c in cand:
             rot, off = _fit(xa[tri], xb[list(c)])
-            for radius in (3 * tol, 1.5 * tol):
+            for radius in (3 * tol, 1.5 * tol, 1.5 * tol):
                 d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
                 at = d.argmin(1)
-                hit = (d[np.arange(n), at] <= radius) & (d.argmin(0)[at] == np.arange(n))
+                near, mutual = d[every, at], d.argmin(0)[at] == every
+                if ((near <= tol + 1e-4) & mutual).sum() >= need:
+                    return True
+                hit = (near <= radius) & mutual
                 if hit.sum() < need:
                     break
                 rot, off = _fit(xa[hit], xb[at[hit]])
-            else:
-                d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
-                at = d.argmin(1)
-                if ((d[np.arange(n), at] <= tol + 1e-4) & (d.argmin(0)[at] == np.arange(n))).sum() >= need:
-                    return True
     return False
 
 
