@@ -32,7 +32,7 @@ from lodestone.operators.crystals import Sites, SiteTable, cells_agree, coincide
 from lodestone.session import Scratch
 
 #: Bins of the top level: width and reach (tolerance with a little room) for log lengths, angles and log number of sites.
-LEN_BIN, ANGLE_BIN, N_BIN = 0.12, 6.0, 0.5
+LEN_BIN, ANGLE_BIN, N_BIN = 0.06, 6.0, 0.5
 LEVEL = 0.004  # one level of the unary code, in log length
 CELL_BITS = 20  # bits of each length
 COARSE = np.uint64(sum(1 << b for b in range(0, 3 * CELL_BITS, 4)))  # the masked pattern of the middle level
