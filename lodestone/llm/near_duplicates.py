@@ -32,7 +32,7 @@ from lodestone.operators.crystals import Sites, SiteTable, cells_agree, coincide
 from lodestone.session import Scratch
 
 #: Bins of the top level: width and reach (tolerance with a little room) for log lengths, angles and log number of sites.
-LEN_BIN, ANGLE_BIN, N_BIN = 0.06, 6.0, 0.5
+LEN_BIN, ANGLE_BIN, N_BIN = 0.1, 6.0, 0.5
 LEVEL = 0.004  # one level of the unary code, in log length
 CELL_BITS = 20  # bits of each length
 COARSE = np.uint64(sum(1 << b for b in range(0, 3 * CELL_BITS, 4)))  # the masked pattern of the middle level
@@ -306,15 +306,47 @@ def _batched(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int = 1 << 16
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _meet_here(m: _Members, i: int, j: int, small: int) -> bool:
+def _meet_here(m: _Members, i: np.ndarray, j: np.ndarray, small: int) -> np.ndarray:
     """Molecules share several nodes: they are compared in that of all their common atoms, or in the coarse one if either is large."""
-    by_atoms = bool(int(m.node[i]) & _KEY_MARK)
-    if max(m.n[i], m.n[j]) > small:
-        return not by_atoms
-    if not by_atoms:
-        return False
-    counts = [np.bincount(m.sites.z[k, : m.n[k]], minlength=128) for k in (i, j)]
-    return atoms_key(np.minimum(*counts)) == int(m.node[i])
+    by_atoms = (m.node[i] & _KEY_MARK) != 0
+    key = np.zeros(len(i), np.uint64)
+    for z in np.unique(m.sites.z[np.unique(np.concatenate([i, j]))]):
+        if z:
+            counts = (m.sites.z == z).sum(1)
+            key += np.minimum(counts[i], counts[j]).astype(np.uint64) * _ATOM[z]
+    here = ((key & np.uint64(_KEY_MASK)) | np.uint64(_KEY_MARK)).astype(np.int64) == m.node[i]
+    return np.where(np.maximum(m.n[i], m.n[j]) > small, ~by_atoms, by_atoms & here)
+
+
+def _triples_fit(s: SiteTable, i: np.ndarray, j: np.ndarray, miss: np.ndarray, tol: float, chunk: int = 2048) -> np.ndarray:
+    """Which pairs of molecules can coincide: of miss + 1 disjoint triples of sites of i one must be whole among the coinciding sites, so j must have
+    sites of the same elements at the same distances to within 2 tol. Pairs with too few sites for the triples pass."""
+    ok = s.n[i] < 3 * (miss + 1)
+    plans: dict[int, list[list[int]]] = {}
+    for k in np.unique(i[~ok]):
+        n = int(s.n[k])
+        x, z = s.x[k, :n].astype(float), s.z[k, :n]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        left = sorted(range(n), key=lambda q: (int((z == z[q]).sum()), q))
+        plans[int(k)] = []
+        while len(left) >= 3:
+            t = _triple(d, left)
+            plans[int(k)].append(t)
+            left = [q for q in left if q not in t]
+    for t in range(int(miss.max(initial=-1)) + 1):
+        todo = np.flatnonzero(~ok & (miss >= t))
+        for k in range(0, len(todo), chunk):
+            at = todo[k : k + chunk]
+            width = int(s.n[j[at]].max())
+            xb, zb = s.x[j[at], :width], s.z[j[at], :width]
+            db = np.sqrt(((xb[:, :, None] - xb[:, None]) ** 2).sum(3))
+            site = np.array([plans[int(q)][t] for q in i[at]])
+            xa, za = s.x[i[at][:, None], site], s.z[i[at][:, None], site]
+            da = np.sqrt(((xa[:, :, None] - xa[:, None]) ** 2).sum(3))
+            like = [zb == za[:, q][:, None] for q in range(3)]
+            fit = lambda p, q: (like[p][:, :, None] & like[q][:, None] & (np.abs(db - da[:, p, q][:, None, None]) <= 2 * tol + 1e-3)).astype(np.float32)  # noqa: E731, B023
+            ok[at] |= ((np.matmul(fit(1, 0), fit(0, 2)) > 0) & (fit(1, 2) > 0)).any((1, 2))
+    return ok
 
 
 def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: float):
@@ -335,7 +367,9 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
             ci, cj = i[kind][pair], j[kind][pair]
             ok = coincide(m.sites, m.sites, ci, cj, turn, metric(m.par[ci]), need[kind][pair], site_tol)
             mol = np.flatnonzero(~m.crystal[i] & ~m.crystal[j])
-            hit = [k for k in mol if _meet_here(m, i[k], j[k], small) and _same_molecule(m.sites, i[k], j[k], int(need[k]), site_tol)]
+            mol = mol[_meet_here(m, i[mol], j[mol], small)]
+            mol = mol[_triples_fit(m.sites, i[mol], j[mol], m.n[i[mol]] - need[mol], site_tol)]
+            hit = [k for k in mol if _same_molecule(m.sites, i[k], j[k], int(need[k]), site_tol)]
             a, b = np.concatenate([m.id[ci[ok]], m.id[i[hit]]]), np.concatenate([m.id[cj[ok]], m.id[j[hit]]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
