@@ -220,9 +220,9 @@ def dos_histogram(spark, d):
     return B.density_of_states(table(spark, d, "output_bands"), 0.5).select("bands_id", F.col("bin").cast("long").alias("bin"), "states")
 
 
-@query(f"WITH {_PT} SELECT bands_id, spin, band, min(energy) lowest, max(energy) highest, round(avg(energy), 12) mean FROM pt GROUP BY ALL")
+@query(f"WITH {_PT} SELECT bands_id, spin, band, min(energy) lowest, max(energy) highest FROM pt GROUP BY ALL")
 def band_width(spark, d):
-    return B.band_widths(table(spark, d, "output_bands")).withColumn("mean", F.round("mean", 12))
+    return B.band_widths(table(spark, d, "output_bands")).drop("mean")
 
 
 @query("""WITH s AS (SELECT event_type, epoch(ts) x, value y, lead(epoch(ts)) OVER w nx, lead(value) OVER w ny FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch(ts)))
