@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -154,6 +155,25 @@ def test_levels_without_grades(spark):
     assert [r.reading_level for r in reading_level.reading_levels(d, none).collect()] == [None]
 
 
+def test_every_word_has_its_own_node():
+    words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(100_000)]
+    assert len(reading_level.features(" ".join(words))) == 2 * len(words) - 1  # words and pairs
+
+
+def test_words_that_share_a_short_hash_keep_their_levels(spark):
+    seen, pairs = {}, []
+    for i in range(26**3 * 4):
+        w = "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+        h = zlib.crc32(w.encode()) & 0xFFFF
+        if h in seen and len(pairs) < 5:
+            pairs.append((seen.pop(h), w))
+        seen[h] = w
+    docs = [(100 * p + 10 * side + k, w, (1, 4)[side]) for p, pair in enumerate(pairs) for side, w in enumerate(pair) for k in range(8)]
+    lab = [(d, "r", k) for d, _, k in docs if d % 10 < 5]
+    got = reading_level.reading_levels(spark.createDataFrame(docs, "doc_id long, text string, k int"), spark.createDataFrame(lab, "doc_id long, rater string, reading_level int"))
+    assert {r.doc_id: r.reading_level for r in got.collect()} == {d: k for d, _, k in docs}
+
+
 def test_entity_match(spark):
     data = variants()
     s = frame(spark, [r for i, r in enumerate(data) if i % 4 == 0])
