@@ -1,21 +1,22 @@
 """Quantities recorded on different scales: what scale each record is on, and all values on the common one.
 
 A unit stated in text decides (own column, attribute, text of the value, note, axis label). Beside it every source's history is segmented: the
-logarithms of the values, ordered by stated text and arrival, are cut by exact penalised changepoint search, and level shifts that match a known factor
-mark the unit of a segment. Calculations that state no unit anywhere take the mark; see README.md for why stated units decide otherwise.
+logarithms of the values, in order of arrival, are cut by exact penalised changepoint search on spans, whose segments are joined at the borders, and
+level shifts that match a known factor mark the unit of a segment. Calculations that state no unit anywhere take the mark; see README.md for why stated units decide otherwise.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import units as U
 from lodestone.operators.crystals import FRACTION_LIMIT
+from lodestone.session import Scratch
 
-SPAN = 4096  # arrival numbers that one history holds, so that a source with a third of all rows has many histories
+SPAN = 4096  # arrival numbers that one search takes, so that a source with a third of all rows is searched by many tasks
 
 
 def with_energy(structures: DataFrame) -> DataFrame:
@@ -83,65 +84,94 @@ def changepoints(x: np.ndarray, penalty: float) -> np.ndarray:
 #: log10 of a value in each unit over the value in eV.
 SHIFTS = {k: -np.log10(v) for k, v in U.EV.items()}
 SEGMENT_DDL = "table_name string, source string, span long, segment int, first_id long, last_id long, n long, level double, shift double, marked_unit string"
+PART_DDL = "source string, span long, segment int, last boolean, first_id long, last_id long, n long, level double, silent array<long>"
+STRUCTURE_UNITS = ["ev", "mev", "hartree", "rydberg", "kj_per_mol", "kcal_per_mol"]
+BAND_UNITS = ["ev", "mev", "hartree", "rydberg", "thz", "inv_cm"]
 
 
-def _segments(table: str, allowed: list[str], penalty: float, near: float):
+def _parts(penalty: float):
+    """Exact segments of one span of a source's history, in order of arrival, and the ids in each that state no unit."""
+
     def solve(h: pd.DataFrame) -> pd.DataFrame:
-        h = h.sort_values(["stated", "id"], kind="stable")
-        x = h.level.to_numpy()
+        h = h.sort_values(["id", "level"], kind="stable")
+        x, ids, silent = h.level.to_numpy(), h.id.to_numpy(), (h.stated == "~").to_numpy()
         at = changepoints(x, penalty)
         end = np.append(at[1:], len(x))
-        level = np.array([x[a:b].mean() for a, b in zip(at, end)])
-        # the base: the level of most values that are on the common scale by statement, else of most values
-        common = (h.stated == "").to_numpy()
-        base = np.median(x[common]) if common.sum() >= 3 else np.median(x)
-        rows = []
-        ids = h.id.to_numpy()
-        for k, (a, b) in enumerate(zip(at, end)):
-            shift = level[k] - base
-            unit = min(allowed, key=lambda u: abs(SHIFTS[u] - shift))
-            rows.append((table, h.source.iloc[0], int(h.span.iloc[0]), k, int(ids[a:b].min()), int(ids[a:b].max()), int(b - a), level[k], shift, unit if abs(SHIFTS[unit] - shift) <= near else None))
-        return pd.DataFrame(rows, columns=["table_name", "source", "span", "segment", "first_id", "last_id", "n", "level", "shift", "marked_unit"])
+        rows = [(h.source.iloc[0], int(h.span.iloc[0]), k, k == len(at) - 1, int(ids[a]), int(ids[b - 1]), int(b - a), x[a:b].mean(), ids[a:b][silent[a:b]].tolist()) for k, (a, b) in enumerate(zip(at, end))]
+        return pd.DataFrame(rows, columns=["source", "span", "segment", "last", "first_id", "last_id", "n", "level", "silent"])
 
     return solve
 
 
+def _borders(penalty: float):
+    """Of one source's first and last segments of each span: those that go on a segment of an earlier span, and that segment."""
+
+    def join(h: pd.DataFrame) -> pd.DataFrame:
+        out, held = [], None
+        for r in h.sort_values(["span", "segment"]).itertuples():
+            if r.segment == 0 and held is not None:
+                n, level, span, segment = held
+                # what one segment less saves must make up for the squared error that joining adds
+                if n * r.n / (n + r.n) * (level - r.level) ** 2 <= penalty:
+                    out.append((r.source, r.span, r.segment, span, segment))
+                    held = (n + r.n, (n * level + r.n * r.level) / (n + r.n), span, segment)
+                    continue
+            held = (r.n, r.level, r.span, r.segment)
+        return pd.DataFrame(out, columns=["source", "span", "segment", "to_span", "to_segment"])
+
+    return join
+
+
+def _history(rows: DataFrame, table: str, allowed: list[str], penalty: float, near: float) -> DataFrame:
+    """Segments of SEGMENT_DDL and `silent`, the ids that state no unit. rows: (source, id, stated, level), stated '' for eV and '~' for no unit.
+
+    Each source's history is in order of arrival. Spans are solved exactly; the last segment of a span and the first of the next are one if that costs less,
+    over any number of spans. The base is the median level of all records of the source that state eV, or of all its records if fewer than 3 do.
+    """
+    scratch = Scratch(rows.sparkSession, "histories")
+    rows = scratch.keep(rows)
+    parts = scratch.keep(rows.withColumn("span", F.floor(F.col("id") / SPAN)).groupBy("source", "span").applyInPandas(_parts(penalty), PART_DDL))
+    ends = parts.where("segment = 0 or last").select("source", "span", "segment", "n", "level")
+    moved = ends.groupBy("source").applyInPandas(_borders(penalty), "source string, span long, segment int, to_span long, to_segment int")
+    ev = F.when(F.col("stated") == "", F.col("level"))
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    base = rows.groupBy("source").agg(F.when(F.count(ev) >= 3, middle(ev)).otherwise(middle("level")).alias("base"))
+    whole = parts.join(moved, ["source", "span", "segment"], "left").groupBy("source", F.coalesce("to_span", "span").alias("span"), F.coalesce("to_segment", "segment").alias("segment"))
+    whole = whole.agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"), (F.sum(F.col("level") * F.col("n")) / F.sum("n")).alias("level"), F.flatten(F.collect_list("silent")).alias("silent"))
+    whole = whole.join(base, "source").withColumn("shift", F.col("level") - F.col("base"))
+    best = F.array_min(F.array(*[F.struct(F.abs(F.lit(float(SHIFTS[u])) - F.col("shift")).alias("off"), F.lit(i).alias("i"), F.lit(u).alias("unit")) for i, u in enumerate(allowed)]))
+    marked = F.when(best["off"] <= near, best["unit"])
+    return whole.select(F.lit(table).alias("table_name"), "source", "span", "segment", "first_id", "last_id", "n", "level", "shift", marked.alias("marked_unit"), "silent")
+
+
+def _band_history(per: DataFrame) -> DataFrame:
+    stated = F.when(F.col("unit") == "ev", "").otherwise(F.coalesce("unit", F.lit("~")))
+    return per.where("level is not null and bands_id is not null").select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("bands_id").alias("id"), stated.alias("stated"), "level")
+
+
 def segment_histories(structures: DataFrame, output_bands: DataFrame, penalty: float = 2.0, near: float = 0.25) -> DataFrame:
     """Segments of every source's history of formation energies and band energies with their level shifts and marked units.
 
-    A history holds the records of one source within SPAN arrival numbers. Values of 0, nulls and stand-ins have no level and no place in it.
-    Energies per cell are divided by their sites first where that is stated.
+    A segment is named by the span and place in it where it starts. Values of 0, nulls and stand-ins have no level and no place in a history, nor have
+    records without a number of arrival. Energies per cell are divided by their sites first where that is stated.
     """
     s = stated_energies(structures)
     per_cell = F.when(F.col("unit").endswith("_per_cell"), F.col("n")).otherwise(1)
-    s = s.where("energy <> 0").select(
-        F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.floor(F.col("seq") / SPAN).alias("span"), F.col("seq").alias("id"),
-        F.when(F.col("unit") == "ev_per_atom", "").otherwise(F.col("unit")).alias("stated"), F.log10(F.abs("energy") / F.greatest(per_cell, F.lit(1))).alias("level"),
-    )
-    b = band_statements(output_bands).where("level is not null").select(
-        F.col("source").cast("string").alias("source"), F.floor(F.col("bands_id") / SPAN).alias("span"), F.col("bands_id").alias("id"), F.when(F.col("unit") == "ev", "").otherwise(F.coalesce("unit", F.lit("~"))).alias("stated"), "level"
+    unit = F.when(F.col("unit") == "ev_per_atom", F.when(F.col("stated"), "").otherwise("~")).otherwise(F.col("unit"))
+    s = s.where("energy <> 0 and seq is not null").select(
+        F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.col("seq").alias("id"), unit.alias("stated"), F.log10(F.abs("energy") / F.greatest(per_cell, F.lit(1))).alias("level")
     )
-    e = s.groupBy("source", "span").applyInPandas(_segments("structures", ["ev", "mev", "hartree", "rydberg", "kj_per_mol", "kcal_per_mol"], penalty, near), SEGMENT_DDL)
-    return e.unionByName(b.groupBy("source", "span").applyInPandas(_segments("output_bands", ["ev", "mev", "hartree", "rydberg", "thz", "inv_cm"], penalty, near), SEGMENT_DDL))
+    e = _history(s, "structures", STRUCTURE_UNITS, penalty, near)
+    return e.unionByName(_history(_band_history(band_statements(output_bands)), "output_bands", BAND_UNITS, penalty, near)).drop("silent")
 
 
 def band_units(output_bands: DataFrame, penalty: float = 2.0, near: float = 0.25) -> DataFrame:
     """(bands_id, unit): stated, or else marked by the level shift of the segment of the history that the calculation lies in; 'ev' if neither."""
-    per = band_statements(output_bands)
-    hist = per.where("level is not null").select(
-        "source", F.floor(F.col("bands_id") / SPAN).alias("span"), F.col("bands_id").alias("id"), F.when(F.col("unit") == "ev", "").otherwise(F.coalesce("unit", F.lit("~"))).alias("stated"), "level"
-    )
-    # only histories with calculations that state no unit need segments
-    need = hist.withColumn("open", F.max(F.col("stated") == "~").over(Window.partitionBy("source", "span"))).where("open").drop("open")
-    solve = _segments("output_bands", ["ev", "mev", "hartree", "rydberg", "thz", "inv_cm"], penalty, near)
-
-    def mark(h: pd.DataFrame) -> pd.DataFrame:
-        h = h.sort_values(["stated", "id"], kind="stable").reset_index(drop=True)
-        seg = solve(h.assign(source=h.source.astype(str)))
-        unit = np.repeat(seg.marked_unit.to_numpy(), seg.n.to_numpy())
-        return pd.DataFrame({"bands_id": h.id, "marked": unit})[(h.stated == "~").to_numpy()]
-
-    marked = need.groupBy("source", "span").applyInPandas(mark, "bands_id long, marked string")
+    per = Scratch(output_bands.sparkSession, "band-statements").keep(band_statements(output_bands))
+    hist = _band_history(per)
+    # only sources with calculations that state no unit need segments
+    need = hist.join(hist.where("stated = '~'").select("source").distinct(), "source", "left_semi")
+    marked = _history(need, "output_bands", BAND_UNITS, penalty, near).select(F.explode("silent").alias("bands_id"), F.col("marked_unit").alias("marked"))
     stated = per.where("unit is not null").select("bands_id", "unit")
     silent = per.where("unit is null").join(marked, "bands_id", "left").select("bands_id", F.coalesce("marked", F.lit("ev")).alias("unit"))
     return stated.union(silent)

@@ -82,6 +82,38 @@ def test_silent_calculation_takes_the_mark(spark):
     assert {got[b] for b in range(20)} == {"ev"} and {got[b] for b in range(20, 24)} == {"mev"}
 
 
+def calculations(units):
+    """One calculation an id: (unit, stated) to three rows of about 1 eV."""
+    factor = {"eV": 1, "meV": 1000}
+    return [(b, "Q_1", 0, k, (1.0 + b % 3 / 10) * factor[u], u if said else None, None) for b, (u, said) in enumerate(units) for k in range(3)]
+
+
+BANDS = "bands_id long, label string, band int, k_idx int, energy double, unit_y string, y_label string"
+STRUCTURES = "seq long, source string, elements array<string>, formation_energy double, formation_energy_unit string, attributes map<string, struct<d: double, s: string, b: boolean, j: string, unit: string>>, note string"
+
+
+def test_change_of_unit_for_good_is_seen_in_later_spans(spark, monkeypatch):
+    monkeypatch.setattr(unit_repair, "SPAN", 8)
+    d = spark.createDataFrame(calculations([("eV", True)] * 16 + [("meV", False)] * 48), BANDS)
+    got = {r.bands_id: r.unit for r in unit_repair.band_units(d).collect()}
+    assert {got[b] for b in range(16)} == {"ev"} and {got[b] for b in range(16, 64)} == {"mev"}
+    seg = unit_repair.segment_histories(spark.createDataFrame([], STRUCTURES), d).collect()
+    assert sorted((r.first_id, r.last_id, r.n, r.marked_unit) for r in seg) == [(0, 15, 16, "ev"), (16, 63, 48, "mev")]
+
+
+def test_segments_follow_arrival_and_not_the_label(spark):
+    d = spark.createDataFrame(calculations([("eV", True)] * 6 + [("meV", True)] * 6 + [("eV", True)] * 6 + [("meV", True)] * 6), BANDS)
+    seg = unit_repair.segment_histories(spark.createDataFrame([], STRUCTURES), d).collect()
+    assert sorted((r.first_id, r.last_id, r.marked_unit) for r in seg) == [(0, 5, "ev"), (6, 11, "mev"), (12, 17, "ev"), (18, 23, "mev")]
+
+
+def test_structures_without_a_unit_are_no_base(spark):
+    rows = [(i, "A", ["Te"], -(1.0 + i % 3 / 10) * (1000 if i < 20 else 1), None if i < 20 else "eV/atom", None, None) for i in range(24)]
+    bands = spark.createDataFrame([], BANDS)
+    seg = unit_repair.segment_histories(spark.createDataFrame(rows, STRUCTURES), bands).collect()
+    assert sorted((r.first_id, r.last_id, r.marked_unit) for r in seg) == [(0, 19, "mev"), (20, 23, "ev")]
+
+
 def test_flatten_layouts(spark):
     a = {"attributes": [{"name": "bandGap", "value": "", "unit": None}, {"name": "x", "value": None}], "sites": [{"element": "Te", "siteIndex": 7, "properties": {"partialCharge": 1.0, "m": None}, "neighbours": {"0": {"element": "Cs"}, "1": {"element": "Te"}}}, {"element": "Cs", "neighbours": {"element": "Te", "distance": 2.0}}]}
     b = {"structure": {"elements": ["Te", "Cs"], "positions": [[0, 0, 0], [1, 1, 1]]}, "attributes": json.dumps({"formationEnergy": {"value": -1, "unit": "eV"}}), "siteAttributes": {"magmom": [None, 2.0]}, "extras": json.dumps({"coordination": {"sites": [{"site_index": 1, "neighbours": [{"element": "Te"}]}]}})}
