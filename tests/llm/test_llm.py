@@ -76,6 +76,30 @@ def test_survivors_equal_sql(spark):
     assert rows(queries.p2_found(spark, folder).toPandas()) == rows(duck(queries.oracle_sql()["p2_found"], folder))
 
 
+def test_survivors_have_every_field(spark):
+    ddl = """seq long, source string, source_id string, elements array<string>, kinds array<string>, positions array<array<double>>, is_cartesian boolean, pbc array<boolean>,
+        cell array<array<double>>, formation_energy double, formation_energy_unit string, attributes map<string, struct<d: double, s: string, b: boolean, j: string, unit: string>>,
+        site_attributes map<string, array<string>>, note string, mtime timestamp"""
+    v = lambda d=None, s=None, b=None, j=None, unit=None: (d, s, b, j, unit)
+    te = (["Te"], None, [[0.0, 0.0, 0.0]], True, [True] * 3, [[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 4.0]])
+    none = ([], None, [], None, None, None)
+    rows_ = [
+        (1, "good", "g-7", *none, -999.0, "eV", {"stability": v(d=0.2, unit="eV/atom"), "note_x": v(s="n/a")}, None, None, None),
+        (2, "poor", "7", *te, -50.0, "meV/atom", {"stability": v(d=90.0, unit="meV/atom"), "theoretical": v(b=True), "provenance": v(j='{"cutoff": 30}'), "note_x": v(s="kept")}, None, None, None),
+        (3, "good", "8", *none, None, None, None, None, None, None), (4, "poor", "8", *none, None, None, None, None, None, None),
+        (5, "good", "9", *te, -1.0, None, None, None, None, None),
+    ]
+    sources = spark.createDataFrame([("good", "F", 1), ("poor", "F", 2)], "source string, family string, trust_rank int")
+    got = {r.entry: r for r in survivors.survivors(spark.createDataFrame(rows_, ddl), sources).collect()}
+    assert set(got) == {"7", "8"}
+    r = got["7"]
+    assert (r.source, r.source_id, r.source_from, r.structure_from, r.elements, r.positions) == ("good", "g-7", 1, 2, ["Te"], [[0.0, 0.0, 0.0]])
+    assert (r.formation_energy, r.formation_energy_unit, r.formation_energy_from) == ("-50.0", "mev_per_atom", 2)
+    assert r.attributes_from == {"stability": 1, "theoretical": 2, "provenance": 2, "note_x": 2}
+    assert (r.attributes["stability"].d, r.attributes["stability"].unit, r.attributes["theoretical"].b, r.attributes["provenance"].j) == (0.2, "eV/atom", True, '{"cutoff": 30}')
+    assert (got["8"].source_id, got["8"].formation_energy, got["8"].structure_from, got["8"].attributes) == ("8", None, None, {})
+
+
 def test_consensus():
     assert survivors.consensus(["PBE", "PBE+U", "PBE+U"], [1.0, 1.0, 1.0]) == 1
     assert survivors.consensus(["PBE", "PBE+U", "PBE+U"], [0.5, 0.25, 0.125]) == 0
