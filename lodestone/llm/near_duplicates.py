@@ -420,35 +420,53 @@ def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
         tri = _triple(da, left)
         for p in tri:
             left.remove(p)
-        cand = np.flatnonzero(like[tri[0]])[:, None]
-        for q in range(1, len(tri)):
-            near = like[tri[q]][None] & np.logical_and.reduce([np.abs(db[cand[:, w]] - da[tri[q], tri[w]]) <= 3 * tol for w in range(q)])
-            near[np.arange(len(cand))[:, None], cand] = False
-            at, b = np.nonzero(near)
-            cand = np.column_stack([cand[at], b])
-        for c in cand:
-            rot, off = _fit(xa[tri], xb[list(c)])
-            for radius in (3 * tol, 1.5 * tol, 1.5 * tol):
-                d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
-                at = d.argmin(1)
-                near, mutual = d[every, at], d.argmin(0)[at] == every
-                if ((near <= tol + 1e-4) & mutual).sum() >= need:
-                    return True
-                hit = (near <= radius) & mutual
-                if hit.sum() < need:
-                    break
-                rot, off = _fit(xa[hit], xb[at[hit]])
+        tries = [tri]
+        if len(tri) == 3 and _height(da, *tri) < FLAT:
+            # the sites left lie on a line, about which a fit can turn freely: a third site from all that are off it, too
+            third = max((w for w in rank if w not in tri[:2] and like[w].any()), key=lambda w: _height(da, *tri[:2], w))
+            if third != tri[2]:
+                tries.insert(0, [*tri[:2], third])
+        for tri in tries:
+            cand = np.flatnonzero(like[tri[0]])[:, None]
+            for q in range(1, len(tri)):
+                near = like[tri[q]][None] & np.logical_and.reduce([np.abs(db[cand[:, w]] - da[tri[q], tri[w]]) <= 3 * tol for w in range(q)])
+                near[np.arange(len(cand))[:, None], cand] = False
+                at, b = np.nonzero(near)
+                cand = np.column_stack([cand[at], b])
+            for c in cand:
+                rot, off = _fit(xa[tri], xb[list(c)])
+                for radius in (3 * tol, 1.5 * tol, 1.5 * tol):
+                    d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
+                    at = d.argmin(1)
+                    near, mutual = d[every, at], d.argmin(0)[at] == every
+                    if ((near <= tol + 1e-4) & mutual).sum() >= need:
+                        return True
+                    hit = (near <= radius) & mutual
+                    if hit.sum() < need:
+                        break
+                    rot, off = _fit(xa[hit], xb[at[hit]])
     return False
 
 
+FLAT = 0.5  # angstrom: a third site so near the line of the other two hardly fixes the rotation about it
+
+
+def _height(d: np.ndarray, p: int, q: int, w: int) -> float:
+    """Distance of site w from the line of p and q; d: distances."""
+    if d[p, q] < 1e-9:
+        return 0.0
+    along = (d[p, q] ** 2 + d[p, w] ** 2 - d[q, w] ** 2) / (2 * d[p, q])
+    return float(np.sqrt(max(d[p, w] ** 2 - along**2, 0.0)))
+
+
 def _triple(d: np.ndarray, left: list[int]) -> list[int]:
-    """The first of `left`, the site farthest from it among the next ones, and a third one off their line; d: distances."""
+    """The first of `left`, the site farthest from it among the next ones, and a third one farthest off their line; d: distances."""
     p, pool = left[0], left[1:8]
     if not pool:
         return [p]
     q = pool[int(d[p, pool].argmax())]
     rest = [w for w in pool if w != q]
-    return [p, q, rest[int((d[p, rest] + d[q, rest]).argmax())]] if rest else [p, q]
+    return [p, q, max(rest, key=lambda w: _height(d, p, q, w))] if rest else [p, q]
 
 
 def _fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -65,6 +65,19 @@ def test_molecules_up_to_rotation(spark):
     assert {(r.seq_a, r.seq_b) for r in near_duplicates.duplicate_pairs(frame(spark, data)).collect()} == {(1, 2), (1, 3), (2, 3)}
 
 
+@pytest.mark.parametrize("bonds", [[(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)], [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1)]], ids=["square-planar", "square-pyramidal"])
+def test_molecules_with_sites_on_a_line(spark, bonds):
+    rng, data = np.random.default_rng(4), []
+    for k in range(10):
+        x = np.array([(0, 0, 0), *bonds], float) * (1.5 + 0.3 * k)
+        for side in range(2):
+            q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+            q *= np.sign(np.linalg.det(q))
+            data.append((2 * k + side, ["Xe"] + ["F"] * len(bonds), ((x + rng.normal(0, 0.01, x.shape)) @ q).tolist(), None))
+    got = {(r.seq_a, r.seq_b) for r in near_duplicates.duplicate_pairs(frame(spark, data)).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(10)}
+
+
 def test_near_duplicates_odd_rows(spark):
     data = [(1, None, None, None), (2, [], [], None), (3, ["Te"], [[0.0, 0.0]], None), (4, ["Te", "Cs"], [[0.0, 0.0, 0.0]], None), (5, ["Te"], [[float("nan"), 0.0, 0.0]], None)]
     assert near_duplicates.duplicate_pairs(frame(spark, data)).count() == 0
