@@ -47,6 +47,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: every copy of every text, with its shard and place."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares wanted and reached by the mix."""
     return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -57,7 +62,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_survivors, p5_found, p5_matches, p7_found, p8_found, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_survivors, p5_found, p5_matches, p7_found, p8_found, p8_mix, p8_report, p9_found)}
 
 
 #: p2 in SQL: the survivor under dominant weights is the best record's value.

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -159,6 +160,24 @@ def test_mix_shares_and_caps(spark):
     assert max(sizes) - min(sizes) <= 2
 
 
+def test_mix_query_and_found_sources_agree(spark):
+    folder = f"{DATA}/sf0.001"
+    known = queries.queries()
+    mix = known["p8_mix"](spark, folder).toPandas()
+    assert not mix.duplicated(["doc_id", "copy"]).any() and mix["shard"].between(0, 15).all()
+    drawn = mix.groupby("source").tokens.sum()
+    plan = spark.read.parquet(f"{folder}/mix_targets.parquet").toPandas()
+    total = mixing.token_counts(spark.read.parquet(f"{folder}/documents.parquet")).toPandas().tokens.sum()
+    caps = mix.groupby("source").copy.max()
+    short = set()
+    for r in plan.itertuples():
+        key = re.sub(r"[\s_-]+", "_", r.source.strip().lower())
+        assert caps.get(key, 0) <= r.max_repeats
+        if drawn.get(key, 0) < r.target_share * total - 0.5:
+            short.add(r.source)
+    assert {r.source for r in known["p8_found"](spark, folder).collect()} == short
+
+
 def test_split_tree_is_exact():
     t = mixing.split_tree(np.array([5, 0, 17, 3]), 4, 1)
     assert t.sum(0).tolist() == [5, 0, 17, 3] and max(t.sum(1)) - min(t.sum(1)) <= 1
