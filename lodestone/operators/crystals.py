@@ -142,7 +142,7 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
 
     x are fractions of the cell; turn: how often the axes of b are renamed; g: the metric tensor of a. Origins are tried that lay
     one of n - need + 1 sites of a, rarest elements first, on each like site of b: one of them must be among the coinciding ones.
-    An origin that brings need sites to within 2 tol is then centred on them up to three times and counted at tol.
+    An origin that brings need sites to within 2 tol is then decided exactly, to within SLACK: see `_origin_exists`.
     """
     good = np.zeros(len(ia), bool)
     if not len(ia):
@@ -183,19 +183,9 @@ def coincide(a: SiteTable, b: SiteTable, ia: np.ndarray, ib: np.ndarray, turn: n
                 if not enough.any():
                     continue
                 live, sh = live[enough], shift[q][enough]
-                # centre the origin on what coincides; any origin at which enough sites coincide will do
-                for radius in (2 * tol, 1.5 * tol, 1.5 * tol):
-                    d, best, mutual = _near(xa[live], xb[live], sh, g[sel[live]], like[live])
-                    wanted = need[sel[live]]
-                    done = ((best <= (tol + 1e-4) ** 2) & mutual).sum(1) >= wanted
-                    good[sel[live[done]]] = True
-                    hit = (best <= radius**2) & mutual
-                    more = ~done & (hit.sum(1) >= wanted)
-                    if not more.any():
-                        break
-                    hit = hit[more].astype(np.float32)
-                    sh = sh[more] + (d[more] * hit[..., None]).sum(1) / hit.sum(1)[:, None]
-                    live = live[more]
+                for at in range(0, len(live), 256):
+                    o = slice(at, at + 256)
+                    good[sel[live[o]]] |= _origin_exists(xa[live[o]], xb[live[o]], sh[o], g[sel[live[o]]], like[live[o]], need[sel[live[o]]], tol)
     return good
 
 
@@ -216,12 +206,189 @@ def _quadratic(d: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x * x * g[h, 0] + y * y * g[h, 4] + z * z * g[h, 8] + 2 * (x * y * g[h, 1] + x * z * g[h, 2] + y * z * g[h, 5])
 
 
-def _near(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each site of a: the step to its nearest like site of b, its squared length, and whether the two are nearest to each other."""
-    d = xb[:, None] - (xa + shift[:, None])[:, :, None]
-    d -= np.rint(d)
-    e = np.matmul(d.reshape(len(d), -1, 3), g.astype(np.float32)).reshape(d.shape)
-    dist = np.where(like, np.einsum("hijk,hijk->hij", d, e), np.float32(1e9))
-    at, back = dist.argmin(2), dist.argmin(1)
-    h, i = np.arange(len(d))[:, None], np.arange(xa.shape[1])[None]
-    return d[h, i, at], dist[h, i, at], back[h, at] == i
+#: Angstrom by which a site may miss the tolerance, so that ties and rounding don't decide.
+SLACK = 1e-4
+
+
+class _Steps:
+    """For each trial origin, the steps (in angstrom) that would lay a site of a on a like site of b: those within reach, padded with far ones."""
+
+    def __init__(self, xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray, reach: float):
+        h, i, j = np.nonzero(like)
+        d = (xb[h, j] - xa[h, i] - shift[h]).astype(float)
+        d -= np.rint(d)
+        near = _quadratic(d, g, h) <= reach**2
+        h, i, j = h[near], i[near], j[near]
+        v = np.einsum("si,sij->sj", d[near], np.linalg.cholesky(g)[h])
+        per = np.bincount(h, minlength=len(xa))
+        k = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per)
+        width = int(per.max(initial=1))
+        self.at = np.full((len(xa), width, 3), 1e3)
+        self.i, self.j = np.full((len(xa), width), -1), np.full((len(xa), width), -1)
+        self.at[h, k], self.i[h, k], self.j[h, k] = v, i, j
+        repeats = lambda x: len(np.unique(h * 1_000_000 + x)) < len(h)
+        self.single = not (repeats(i) or repeats(j))
+
+    def count(self, h: np.ndarray, origin: np.ndarray, r: float) -> np.ndarray:
+        """How many sites coincide to within r if the origin of h moves there: sites of a and of b count once."""
+        hit = ((self.at[h] - origin[:, None]) ** 2).sum(2) <= r * r
+        if self.single:
+            return hit.sum(1)
+        row, k = np.nonzero(hit)
+        once = lambda x: np.bincount(np.unique(row * 1_000_000 + x[h[row], k]) // 1_000_000, minlength=len(h))
+        return np.minimum(once(self.i), once(self.j))
+
+
+def _origin_exists(xa: np.ndarray, xb: np.ndarray, shift: np.ndarray, g: np.ndarray, like: np.ndarray, need: np.ndarray, tol: float) -> np.ndarray:
+    """Whether some origin near each shift brings at least `need` sites to within tol.
+
+    Such an origin lies in the balls of radius tol about `need` of the steps. The middle of the steps is tried first; what that leaves open is decided by
+    halving cubes: a cube is given up when too few balls reach it, and settles the question when its middle lies in enough of them.
+    """
+    s = _Steps(xa, xb, shift, g, like, 2 * tol + SLACK)
+    done, every = np.zeros(len(xa), bool), np.arange(len(xa))
+    middle = np.zeros((len(xa), 3))
+    for r in (2 * tol, 1.5 * tol, 1.5 * tol):
+        hit = (((s.at - middle[:, None]) ** 2).sum(2) <= (r + SLACK) ** 2)[..., None]
+        middle = np.where(hit, s.at, 0).sum(1) / np.maximum(hit.sum(1), 1)
+        done |= s.count(every, middle, tol + SLACK) >= need
+    h = np.flatnonzero(~done)
+    origin, half = np.zeros((len(h), 3)), tol
+    corner = np.array(np.meshgrid([-0.5, 0.5], [-0.5, 0.5], [-0.5, 0.5])).reshape(3, 8).T
+    while len(h):
+        wide = half * np.sqrt(3)
+        open_ = s.count(h, origin, tol + wide) >= need[h]
+        h, origin = h[open_], origin[open_]
+        done[h[s.count(h, origin, tol + SLACK) >= need[h]]] = True
+        if wide <= SLACK:
+            break
+        left = ~done[h]
+        h, origin = np.repeat(h[left], 8), (origin[left][:, None] + corner * half).reshape(-1, 3)
+        half /= 2
+    return done
+
+
+def rigid_match(za: np.ndarray, xa: np.ndarray, zb: np.ndarray, xb: np.ndarray, need: int, tol: float) -> bool:
+    """Do at least `need` sites of a coincide with sites of the same element of b within tol, after some rotation and shift?
+
+    Triples of sites of a are laid on triples of b with like elements and distances; whichever sites are missing, one triple has none of them
+    (`covering_triples`). A triple fixes the rotation only as well as it is wide, so each is as wide as its sites allow. What it brings near is then decided by
+    the smallest largest distance that any rotation and shift leaves (`_within`).
+    """
+    like = za[:, None] == zb[None]
+    usable = np.flatnonzero(like.any(1))
+    if len(usable) < need:
+        return False
+    da, db = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) for x in (xa, xb))
+    for tri in covering_triples(da, usable.tolist(), len(usable) - need):
+        cand = np.flatnonzero(like[tri[0]])[:, None]
+        for q in range(1, len(tri)):
+            near = like[tri[q]][None] & np.logical_and.reduce([np.abs(db[cand[:, w]] - da[tri[q], tri[w]]) <= 2 * tol + 1e-3 for w in range(q)])
+            near[np.arange(len(cand))[:, None], cand] = False
+            at, b = np.nonzero(near)
+            cand = np.column_stack([cand[at], b])
+        if any(_lies_on(xa, xb, like, tri, list(c), need, tol) for c in cand):
+            return True
+    return False
+
+
+def covering_triples(d: np.ndarray, usable: list[int], miss: int):
+    """Triples of the usable sites of which one is whole whichever `miss` sites are missing; d: distances between sites.
+
+    Few missing sites: the widest triple, then the widest ones without one of its sites, and so on. Many: disjoint triples.
+    """
+    seen: set[tuple[int, ...]] = set()
+    if miss > 2 and len(usable) >= 3 * (miss + 1):
+        left = list(usable)
+        for _ in range(miss + 1):
+            t = widest(d, left)
+            left = [s for s in left if s not in t]
+            yield t
+        return
+    level: set[frozenset[int]] = {frozenset()}
+    for _ in range(miss + 1):
+        after = set()
+        for gone in sorted(level, key=sorted):
+            t = widest(d, [s for s in usable if s not in gone])
+            after |= {gone | {s} for s in t}
+            if t and tuple(t) not in seen:
+                seen.add(tuple(t))
+                yield t
+        level = after
+
+
+def widest(d: np.ndarray, left: list[int]) -> list[int]:
+    """The two sites farthest apart and the one farthest from their line; fewer if there are fewer. d: distances."""
+    if len(left) < 2:
+        return list(left)
+    at = np.array(left)
+    sub = d[np.ix_(at, at)]
+    p, q = divmod(int(sub.argmax()), len(at))
+    if p == q:
+        p, q = 0, 1
+    if len(left) == 2:
+        return [left[p], left[q]]
+    base = max(sub[p, q], 1e-12)
+    along = (base**2 + sub[p] ** 2 - sub[q] ** 2) / (2 * base)
+    off = sub[p] ** 2 - along**2
+    off[[p, q]] = -1.0
+    return [left[p], left[q], left[int(off.argmax())]]
+
+
+def _lies_on(xa: np.ndarray, xb: np.ndarray, like: np.ndarray, tri: list[int], on: list[int], need: int, tol: float) -> bool:
+    """Does a rotation and shift near the one that lays the triple `tri` of a on `on` bring enough sites together?"""
+    every = np.arange(len(xa))
+    rot, off = fit_rigid(xa[tri], xb[on])
+    pairs = None
+    for radius in (8 * tol, 4 * tol, 3 * tol):
+        d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
+        at = d.argmin(1)
+        near, mutual = d[every, at], d.argmin(0)[at] == every
+        if ((near <= tol + SLACK) & mutual).sum() >= need:
+            return True
+        hit = (near <= radius) & mutual
+        if hit.sum() >= need:
+            pairs = every[hit], at[hit]
+        elif pairs is None:
+            return False
+        rot, off = fit_rigid(xa[pairs[0]], xb[pairs[1]])
+    return _within(xa[pairs[0]], xb[pairs[1]], len(pairs[0]) - need, tol + SLACK)
+
+
+def _within(a: np.ndarray, b: np.ndarray, drop: int, tol: float, rounds: int = 200) -> bool:
+    """Is there a rotation and shift that brings all sites but `drop` to within tol of their partners?
+
+    Weighted fits whose weights follow the distances they leave close in on the smallest largest distance: its value lies between the weighted mean
+    square of a fit (below) and the largest distance (above). If all sites can't come that near, at least one of the sites that show it must be dropped.
+    """
+    n = len(a)
+    w = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        rot, off = fit_rigid(a, b, w)
+        r = np.sqrt((((a @ rot + off) - b) ** 2).sum(1))
+        if (r <= tol).sum() >= n - drop:
+            return True
+        if (w * r * r).sum() > tol * tol:
+            break
+        w = w * r / (w * r).sum()
+    if not drop or n < 2:
+        return False
+    order = np.argsort(-w)
+    for k in range(2, n + 1):
+        few = order[:k]
+        share = w[few] / w[few].sum()
+        rot, off = fit_rigid(a[few], b[few], share)
+        if (share * (((a[few] @ rot + off) - b[few]) ** 2).sum(1)).sum() > tol * tol:
+            order = few
+            break
+    return any(_within(np.delete(a, p, 0), np.delete(b, p, 0), drop - 1, tol, rounds) for p in order)
+
+
+def fit_rigid(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Proper rotation and shift with the least weighted squares between a and b."""
+    w = np.full(len(a), 1.0 / len(a)) if w is None else w
+    ca, cb = w @ a, w @ b
+    u, _, vt = np.linalg.svd((a - ca).T @ ((b - cb) * w[:, None]))
+    d = np.sign(np.linalg.det(u @ vt))
+    rot = u @ np.diag([1, 1, d if d else 1]) @ vt
+    return rot, cb - ca @ rot
