@@ -11,7 +11,8 @@ The index is hierarchical. Its top is a node of coarse bins (sorted lengths, sor
 one node and visits the later nodes that its tolerances reach, so that each pair meets exactly once. Nodes are the shuffle key.
 Within a node the records are sorted by the Gray rank of their words; equal composition words, then equal masked cell words, are
 factored into upper nodes, and whole groups are pruned as soon as the differences accumulated on the way down exceed what the
-numbers of sites and the tolerances allow. What remains is compared exactly (`crystals.coincide`; molecules: `_same_molecule`).
+numbers of sites and the tolerances allow. What remains is compared exactly (`crystals.coincide`; molecules: `crystals.rigid_match`).
+Records that a node's earlier pairs already brought into one class aren't compared again: only links that join classes come out.
 Nodes beyond `node_limit` rows are cut into tiles, so that no task holds an unbounded node; no candidate is dropped.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
-from lodestone.operators.crystals import Sites, SiteTable, cells_agree, coincide, metric
+from lodestone.operators.crystals import Sites, SiteTable, cells_agree, coincide, metric, rigid_match, widest
 from lodestone.session import Scratch
 
 #: Bins of the top level: width and reach (tolerance with a little room) for log lengths, angles and log number of sites.
@@ -217,6 +218,38 @@ class _Members:
         pos = np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1][order], self.n) + _arange(self.n)
         self.sites = SiteTable(self.n, z[pos].astype(np.int16), x[pos])
 
+    def molecule(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.sites.z[k, : self.n[k]], self.sites.x[k, : self.n[k]].astype(float)
+
+
+class _Classes:
+    """Which members links found so far bring together."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take in the links (a, b); returns those that joined two classes."""
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        used = []
+        for k, (x, y) in enumerate(zip(self.root[a].tolist(), self.root[b].tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                used.append(k)
+        if up:
+            to = np.arange(len(self.root))
+            for x in up:
+                to[x] = top(x)
+            self.root = to[self.root]
+        return a[used], b[used]
+
 
 def _arange(width: np.ndarray) -> np.ndarray:
     """0..w-1 for each w, joined."""
@@ -325,12 +358,12 @@ def _triples_fit(s: SiteTable, i: np.ndarray, j: np.ndarray, miss: np.ndarray, t
     plans: dict[int, list[list[int]]] = {}
     for k in np.unique(i[~ok]):
         n = int(s.n[k])
-        x, z = s.x[k, :n].astype(float), s.z[k, :n]
+        x = s.x[k, :n].astype(float)
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        left = sorted(range(n), key=lambda q: (int((z == z[q]).sum()), q))
+        left = list(range(n))
         plans[int(k)] = []
         while len(left) >= 3:
-            t = _triple(d, left)
+            t = widest(d, left)
             plans[int(k)].append(t)
             left = [q for q in left if q not in t]
     for t in range(int(miss.max(initial=-1)) + 1):
@@ -356,9 +389,14 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         m = _Members(t)
-        # exact copies from different tasks: the same body in the same home node
-        for i, j in _batched(_descend(m, similarity, cell_reach)):
+        classes = _Classes(len(m.n))
+        near = np.flatnonzero((m.top[1:] == m.top[:-1]) & ~(m.visit[1:] & m.visit[:-1]))  # neighbours in Gray order first: most classes form here
+        for i, j in itertools.chain([(near, near + 1)], _batched(_descend(m, similarity, cell_reach))):
+            apart = classes.root[i] != classes.root[j]
+            i, j = i[apart], j[apart]
             need = np.ceil(similarity * np.maximum(m.n[i], m.n[j]) - 1e-9).astype(np.int64)
+            enough = np.minimum(m.n[i], m.n[j]) >= need
+            i, j, need = i[enough], j[enough], need[enough]
             swap = m.n[j] > m.n[i]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             kind = m.crystal[i] & m.crystal[j]
@@ -369,9 +407,10 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
             mol = np.flatnonzero(~m.crystal[i] & ~m.crystal[j])
             mol = mol[_meet_here(m, i[mol], j[mol], small)]
             mol = mol[_triples_fit(m.sites, i[mol], j[mol], m.n[i[mol]] - need[mol], site_tol)]
-            hit = [k for k in mol if _same_molecule(m.sites, i[k], j[k], int(need[k]), site_tol)]
-            a, b = np.concatenate([m.id[ci[ok]], m.id[i[hit]]]), np.concatenate([m.id[cj[ok]], m.id[j[hit]]])
+            hit = [k for k in mol if classes.root[i[k]] != classes.root[j[k]] and rigid_match(*m.molecule(i[k]), *m.molecule(j[k]), int(need[k]), site_tol)]
+            a, b = classes.join(np.concatenate([ci[ok], i[hit]]).astype(np.int64), np.concatenate([cj[ok], j[hit]]).astype(np.int64))
             if len(a):
+                a, b = m.id[a], m.id[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,83 +440,6 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
     return run
 
 
-def _same_molecule(s: SiteTable, i: int, j: int, need: int, tol: float) -> bool:
-    """Do at least `need` sites coincide after some rotation and shift? Disjoint triples of sites are laid on triples of the other with like
-    elements and distances; one more triple than sites may be missing, so one triple of coinciding sites is tried if there are enough sites."""
-    n, k = int(s.n[i]), int(s.n[j])
-    za, xa, zb, xb = s.z[i, :n], s.x[i, :n].astype(float), s.z[j, :k], s.x[j, :k].astype(float)
-    like = za[:, None] == zb[None]
-    if (like.any(1)).sum() < need:
-        return False
-    da, db = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) for x in (xa, xb))
-    # sites of a that see at least need - 1 like distances from some site of b
-    rank = np.argsort(np.where(like.any(1), like.sum(1), 99), kind="stable")
-    left, miss, every = list(rank), n - need, np.arange(n)
-    for _ in range(miss + 1):
-        left = [r for r in left if like[r].any()]
-        if len(left) < min(3, n):
-            left = list(rank)
-        tri = _triple(da, left)
-        for p in tri:
-            left.remove(p)
-        tries = [tri]
-        if len(tri) == 3 and _height(da, *tri) < FLAT:
-            # the sites left lie on a line, about which a fit can turn freely: a third site from all that are off it, too
-            third = max((w for w in rank if w not in tri[:2] and like[w].any()), key=lambda w: _height(da, *tri[:2], w))
-            if third != tri[2]:
-                tries.insert(0, [*tri[:2], third])
-        for tri in tries:
-            cand = np.flatnonzero(like[tri[0]])[:, None]
-            for q in range(1, len(tri)):
-                near = like[tri[q]][None] & np.logical_and.reduce([np.abs(db[cand[:, w]] - da[tri[q], tri[w]]) <= 3 * tol for w in range(q)])
-                near[np.arange(len(cand))[:, None], cand] = False
-                at, b = np.nonzero(near)
-                cand = np.column_stack([cand[at], b])
-            for c in cand:
-                rot, off = _fit(xa[tri], xb[list(c)])
-                for radius in (3 * tol, 1.5 * tol, 1.5 * tol):
-                    d = np.where(like, np.sqrt((((xa @ rot + off)[:, None] - xb[None]) ** 2).sum(2)), 1e9)
-                    at = d.argmin(1)
-                    near, mutual = d[every, at], d.argmin(0)[at] == every
-                    if ((near <= tol + 1e-4) & mutual).sum() >= need:
-                        return True
-                    hit = (near <= radius) & mutual
-                    if hit.sum() < need:
-                        break
-                    rot, off = _fit(xa[hit], xb[at[hit]])
-    return False
-
-
-FLAT = 0.5  # angstrom: a third site so near the line of the other two hardly fixes the rotation about it
-
-
-def _height(d: np.ndarray, p: int, q: int, w: int) -> float:
-    """Distance of site w from the line of p and q; d: distances."""
-    if d[p, q] < 1e-9:
-        return 0.0
-    along = (d[p, q] ** 2 + d[p, w] ** 2 - d[q, w] ** 2) / (2 * d[p, q])
-    return float(np.sqrt(max(d[p, w] ** 2 - along**2, 0.0)))
-
-
-def _triple(d: np.ndarray, left: list[int]) -> list[int]:
-    """The first of `left`, the site farthest from it among the next ones, and a third one farthest off their line; d: distances."""
-    p, pool = left[0], left[1:8]
-    if not pool:
-        return [p]
-    q = pool[int(d[p, pool].argmax())]
-    rest = [w for w in pool if w != q]
-    return [p, q, max(rest, key=lambda w: _height(d, p, q, w))] if rest else [p, q]
-
-
-def _fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proper rotation and shift that lay a on b best."""
-    ca, cb = a.mean(0), b.mean(0)
-    u, _, vt = np.linalg.svd((a - ca).T @ (b - cb))
-    d = np.sign(np.linalg.det(u @ vt))
-    rot = u @ np.diag([1, 1, d if d else 1]) @ vt
-    return rot, cb - ca @ rot
-
-
 def duplicate_links(structures: DataFrame, id_col: str = "seq", similarity: float = 0.85, site_tol: float = 0.1, length_tol: float = 0.02, angle_tol: float = 1.0, node_limit: int = 20_000) -> DataFrame:
     """Links (a, b), a < b, between near-duplicate structures; an exact copy is linked to one earlier copy only, not to all.
 
