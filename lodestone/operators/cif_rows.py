@@ -1,9 +1,10 @@
 """Loading CIF lines with the lines that can't be read set apart, with the reason.
 
 Cells are exploded into (row, column, value), joined with a rule table, validated, and the errors aggregated per row; the clean rows are what an
-anti-join with the errors leaves. All steps are SQL expressions. What a line means depends on the lines before it (text fields, the
-loop header in force): blocks are cut into chunks of lines, each chunk is scanned by itself, and only one summary row a chunk is scanned
-per block, so a block with a third of all rows spreads over many tasks.
+anti-join with the errors leaves. All steps are SQL expressions. What a line means depends on the lines before it (text fields, the loop header in
+force): blocks are cut into chunks of lines, and the lines are shuffled and sorted once, by chunk. A chunk doesn't know whether it begins in a text
+field, so it is summed up for both cases; one small row a chunk is then scanned per block and tells every chunk which case holds and what it carries on.
+A block with a third of all rows thus spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -29,95 +30,83 @@ RULES = [
 REASONS = ["quoting", "column_count", "bad_number", "out_of_range"]  # in the order in which the first one counts
 
 
-def _scan(lines: DataFrame, value: F.Column, how: str, out: str) -> DataFrame:
-    """Adds, to each line, the running sum or last non-null of `value` over all earlier lines of its block and itself, chunk by chunk."""
-    within = Window.partitionBy("block_id", "chunk").orderBy("line_no", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy("block_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    v = lines.withColumn("_v", value)
-    if how == "sum":
-        local, total = F.sum("_v").over(within), F.sum("_v")
-        carry = F.sum("_t").over(across)
-        joined = lambda: F.col("_l") + F.coalesce("_c", F.lit(0))
-    else:
-        local, total = F.last("_v", True).over(within), F.max_by("_v", F.struct("line_no", "row_id"))
-        v = v.withColumn("_w", F.col("_v"))
-        carry = F.last("_t", True).over(across)
-        joined = lambda: F.coalesce("_l", "_c")
-    summary = (v.where("_v is not null") if how != "sum" else v).groupBy("block_id", "chunk").agg(total.alias("_t")).withColumn("_c", carry)
-    # every chunk needs the carry, also one without a value of its own
-    if how != "sum":
-        every = lines.groupBy("block_id", "chunk").agg(F.lit(0).alias("_x"))
-        summary = every.join(v.where("_v is not null").groupBy("block_id", "chunk").agg(total.alias("_t")), ["block_id", "chunk"], "left").withColumn("_c", carry)
-    full = v.withColumn("_l", local).join(summary.select("block_id", "chunk", "_c"), ["block_id", "chunk"])
-    return full.withColumn(out, joined()).drop("_v", "_w", "_l", "_c")
+def _first(raw: F.Column) -> F.Column:
+    return F.lower(F.regexp_extract(raw, r"^\s*(\S+)", 1))
+
+
+def _event(tag: F.Column) -> F.Column:
+    """What a line's first word does to the loop in force; loops of anisotropic displacements hold no sites."""
+    header = tag.startswith("_atom_site_") & ~tag.startswith("_atom_site_aniso")
+    return F.when(header, "header").when(tag.startswith("_"), "tag").when(tag.rlike("^(loop_|data_|save_|stop_|global_)"), "word")
 
 
 def read_lines(cif_lines: DataFrame) -> DataFrame:
-    """Each line with its kind ('cell', 'site' or null) and, for those, its values: (row_id, block_id, line_no, tag, kind, cells).
+    """Cell-length and site lines with their column names and values: (row_id, block_id, line_no, kind, heads, cells).
 
-    Lines in text fields, comments, headers and other tags have no kind. A line delivered twice is scanned once and both
-    deliveries get the result. Null lines count as empty; tags are read without regard to case.
+    Lines in text fields, comments, headers and other tags are left out, and so are site lines without headers. Columns are those of the line's own loop. A line
+    delivered twice is scanned once and both deliveries get the result. Null lines count as empty; tags are read without regard to case.
     """
     lines = cif_lines.select("row_id", "block_id", "line_no", F.coalesce("raw_line", F.lit("")).alias("raw")).withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     order = Window.partitionBy("block_id", "chunk").orderBy("line_no", "row_id")
-    again = F.coalesce(F.lag("line_no").over(order) == F.col("line_no"), F.lit(False))
-    lines = lines.withColumn("again", again).withColumn("mark", F.col("raw").startswith(";"))
-    lines = _scan(lines, (F.col("mark") & ~F.col("again")).cast("long"), "sum", "marks")
-    lines = lines.withColumn("text", F.col("mark") | (F.col("marks") % 2 == 1))
-    first = F.lower(F.regexp_extract("raw", r"^\s*(\S+)", 1))
-    lines = lines.withColumn("tag", F.when(~F.col("text"), first)).withColumn(
-        "event",
-        F.when(F.col("tag").startswith("_atom_site_"), "header").when(F.col("tag").startswith("_"), "tag").when(F.col("tag").rlike("^(loop_|data_|save_|stop_|global_)"), "word"),
-    )
-    lines = _scan(lines, F.col("event"), "last", "state")
-    data = ~F.col("text") & F.col("event").isNull() & (F.col("tag") != "") & ~F.col("tag").startswith("#")
-    kind = F.when(F.col("tag").rlike("^_cell_length_[abc]$"), "cell").when(data & (F.col("state") == "header"), "site")
-    tokens = F.filter(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
-    return lines.select(
-        "row_id", "block_id", "line_no", "tag", "again", "event", kind.alias("kind"),
-        F.when(kind == "cell", F.slice(tokens, 2, 1_000_000)).when(kind == "site", tokens).alias("cells"),
-    )
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("again", F.coalesce(F.lag("line_no").over(order) == F.col("line_no"), F.lit(False))).withColumn("mark", F.col("raw").startswith(";"))
+    lines = lines.withColumn("marks", F.sum((F.col("mark") & ~F.col("again")).cast("long")).over(so_far)).withColumn("event", _event(_first(F.col("raw"))))
+    # case 0: the chunk begins outside a text field; case 1: inside
+    for p in (0, 1):
+        e = F.when(~F.col("mark") & ((F.col("marks") + p) % 2 == 0), F.col("event"))
+        starts = F.coalesce(((e == "word") & ~F.col("again")).cast("long"), F.lit(0))
+        lines = lines.withColumn(f"state{p}", F.last(e, True).over(so_far)).withColumn(f"loop{p}", F.sum(starts).over(so_far))
+    last = F.struct("line_no", "row_id")
+    chunks = lines.groupBy("block_id", "chunk").agg(F.max("marks").alias("marks"), *[F.max_by(f"{c}{p}", last).alias(f"{c}{p}") for p in (0, 1) for c in ("state", "loop")])
+    before = Window.partitionBy("block_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("inside", F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2 == 1)
+    case = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    carry = chunks.select("block_id", "chunk", "inside", F.last(case("state"), True).over(before).alias("old_state"), F.coalesce(F.sum(case("loop")).over(before), F.lit(0)).alias("old_loop"))
+    full = lines.join(carry, ["block_id", "chunk"])
+    full = full.where(~F.col("mark") & ((F.col("marks") + F.col("inside").cast("int")) % 2 == 0)).withColumn("tag", _first(F.col("raw")))
+    full = full.withColumn("state", F.coalesce(case("state"), "old_state")).withColumn("loop", F.col("old_loop") + case("loop"))
+    data = F.col("event").isNull() & (F.col("tag") != "") & ~F.col("tag").startswith("#")
+    full = full.withColumn("kind", F.when(F.col("tag").rlike("^_cell_length_[abc]$"), "cell").when(data & (F.col("state") == "header"), "site"))
+    # the columns of each loop are brought to the chunks that have lines of it: lines aren't shuffled again
+    heads = full.where("event = 'header' and not again").groupBy("block_id", "loop").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "tag"))), lambda h: h["tag"]).alias("columns"))
+    here = full.where("kind = 'site'").select("block_id", "chunk", "loop").distinct().join(heads, ["block_id", "loop"])
+    lined = full.where("kind is not null").join(here, ["block_id", "chunk", "loop"], "left")
+    plain = F.split(F.trim(F.regexp_replace("raw", r"\s+", " ")), " ")
+    odd = F.filter(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
+    tokens = F.when(F.col("raw").rlike("['\"#]"), odd).otherwise(plain)
+    cell = F.col("kind") == "cell"
+    values = F.when(cell, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))).otherwise(tokens)
+    return lined.select("row_id", "block_id", "line_no", "kind", F.when(cell, F.array("tag")).otherwise(F.col("columns")).alias("heads"), values.alias("cells")).where("heads is not null")
 
 
 def _errors(read: DataFrame) -> DataFrame:
-    spark = read.sparkSession
-    heads = (
-        read.where("event = 'header' and not again").groupBy("block_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "tag"))), lambda h: h["tag"]).alias("heads"))
-    )
-    cell = read.where("kind = 'cell'").select("row_id", F.array("tag").alias("heads"), "cells")
-    site = read.where("kind = 'site'").join(heads, "block_id").select("row_id", "heads", "cells")
-    rows = cell.union(site).withColumn("width", F.size("heads")).withColumn("given", F.size("cells"))
+    """(row_id, severity): the place in REASONS of the first reason that holds for each line that can't be read."""
+    rules = read.sparkSession.createDataFrame(RULES, "column string, low double, high double, low_in boolean")
     quoted = F.exists("cells", lambda t: t.rlike("^['\"]") & ~t.rlike(CLOSED))
-    shape = rows.select("row_id", F.when(quoted, 0).when(F.col("given") != F.col("width"), 1).alias("severity"), "heads", "cells")
-    # row, column, value of the lines whose shape is right
-    values = shape.where("severity is null").select("row_id", F.explode(F.arrays_zip("heads", "cells")).alias("c")).select("row_id", F.col("c.heads").alias("column"), F.col("c.cells").alias("value"))
-    rules = spark.createDataFrame(RULES, "column string, low double, high double, low_in boolean")
-    checked = values.join(F.broadcast(rules), "column")  # seven rows, fixed above
-    number = F.regexp_replace("value", r"\([0-9]+\)$", "").cast("double")
-    bad = ~F.col("value").rlike(NUMBER) & ~F.col("value").isin("?", ".")
+    shape = read.select("row_id", F.when(quoted, 0).when(F.size("cells") != F.size("heads"), 1).alias("shape"), "heads", "cells")
+    # row, column, value; lines whose shape is wrong keep one row without
+    values = shape.select("row_id", "shape", F.explode_outer(F.when(F.col("shape").isNull(), F.arrays_zip("heads", "cells"))).alias("c")).select("row_id", "shape", F.col("c.heads").alias("column"), F.col("c.cells").alias("value"))
+    checked = values.join(F.broadcast(rules), "column", "left").where("shape is not null or low_in is not null")  # seven rows, fixed above
+    number = F.regexp_replace("value", r"\([0-9]+\)$", "").try_cast("double")
+    is_number = F.col("value").rlike(NUMBER)
     low = F.when(F.col("low_in"), number < F.col("low")).otherwise(number <= F.col("low"))
-    outside = F.col("value").rlike(NUMBER) & (F.coalesce(low, F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)))
-    found = checked.select("row_id", F.when(bad, 2).when(outside, 3).alias("severity"))
-    return shape.select("row_id", "severity").union(found).where("severity is not null").groupBy("row_id").agg(F.min("severity").alias("severity"))
+    outside = is_number & (F.coalesce(low, F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)))
+    severity = F.coalesce("shape", F.when(~is_number & ~F.col("value").isin("?", "."), 2).when(outside, 3))
+    return checked.select("row_id", severity.alias("severity")).where("severity is not null").groupBy("row_id").agg(F.min("severity").alias("severity"))
 
 
 def rejected_lines(cif_lines: DataFrame) -> DataFrame:
     """(row_id, reason) of cell-length and site lines that can't be read, with the first reason of REASONS that holds.
 
-    An empty table gives no rows. Site lines of a block without headers have no kind and are not reported.
+    An empty table gives no rows. Site lines of a loop without headers have no kind and are not reported.
     """
-    read = Scratch(cif_lines.sparkSession, "cif").keep(read_lines(cif_lines).where("kind is not null or event = 'header'"))
-    return _errors(read).select("row_id", F.element_at(F.array(*map(F.lit, REASONS)), F.col("severity") + 1).alias("reason"))
+    return _errors(read_lines(cif_lines)).select("row_id", F.element_at(F.array(*map(F.lit, REASONS)), F.col("severity") + 1).alias("reason"))
 
 
 def clean_values(cif_lines: DataFrame) -> DataFrame:
-    """(row_id, block_id, line_no, column, value) of the lines that can be read: an anti-join with the errors. '?' and '.' give a null number."""
-    read = Scratch(cif_lines.sparkSession, "cif").keep(read_lines(cif_lines).where("kind is not null or event = 'header'"))
-    errors = _errors(read)
-    heads = read.where("event = 'header' and not again").groupBy("block_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "tag"))), lambda h: h["tag"]).alias("heads"))
-    rows = read.where("kind is not null").join(errors, "row_id", "left_anti").join(heads, "block_id", "left")
-    names = F.when(F.col("kind") == "cell", F.array("tag")).otherwise(F.col("heads"))
-    zipped = rows.select("row_id", "block_id", "line_no", F.explode(F.arrays_zip(names.alias("name"), F.col("cells").alias("text"))).alias("c"))
-    number = F.when(F.col("c.text").rlike(NUMBER), F.regexp_replace("c.text", r"\([0-9]+\)$", "").cast("double"))
+    """(row_id, block_id, line_no, column, value, number) of the lines that can be read: an anti-join with the errors. '?' and '.' give a null number."""
+    read = Scratch(cif_lines.sparkSession, "cif").keep(read_lines(cif_lines))
+    rows = read.join(_errors(read), "row_id", "left_anti")
+    zipped = rows.select("row_id", "block_id", "line_no", F.explode(F.arrays_zip(F.col("heads").alias("name"), F.col("cells").alias("text"))).alias("c"))
+    number = F.when(F.col("c.text").rlike(NUMBER), F.regexp_replace("c.text", r"\([0-9]+\)$", "").try_cast("double"))
     return zipped.select("row_id", "block_id", "line_no", F.col("c.name").alias("column"), F.col("c.text").alias("value"), number.alias("number"))

@@ -54,5 +54,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return own | {f"p6_{n}": _child(n) for n in flatten.TABLES}
 
 
+#: p4 in SQL. A quoted value ends where a run of its quotes is followed by a blank or the end of the line.
+_P4 = r"""
+WITH l AS (SELECT row_id, block_id, line_no, coalesce(raw_line, '') raw, coalesce(lag(line_no) OVER w = line_no, false) again FROM cif_lines WINDOW w AS (PARTITION BY block_id ORDER BY line_no, row_id)),
+m AS (SELECT *, sum(CASE WHEN starts_with(raw, ';') AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY block_id ORDER BY line_no, row_id) marks FROM l),
+t AS (SELECT *, CASE WHEN NOT starts_with(raw, ';') AND marks % 2 = 0 THEN lower(regexp_extract(raw, '^\s*(\S+)', 1)) END tag FROM m),
+e AS (SELECT *, CASE WHEN starts_with(tag, '_atom_site_') AND NOT starts_with(tag, '_atom_site_aniso') THEN 'header' WHEN starts_with(tag, '_') THEN 'tag'
+  WHEN regexp_matches(tag, '^(loop_|data_|save_|stop_|global_)') THEN 'word' END event FROM t),
+s AS (SELECT *, last_value(event IGNORE NULLS) OVER w state, sum(CASE WHEN event = 'word' AND NOT again THEN 1 ELSE 0 END) OVER w loop_no FROM e WINDOW w AS (PARTITION BY block_id ORDER BY line_no, row_id)),
+heads AS (SELECT block_id, loop_no, list(tag ORDER BY line_no) hs FROM s WHERE event = 'header' AND NOT again GROUP BY ALL),
+tok AS (SELECT s.*, regexp_matches(tag, '^_cell_length_[abc]$') is_cell,
+  [regexp_replace(x, '\s+$', '') for x in regexp_extract_all(raw, '''(?:[^'']|''+[^''\s])*''+(?:\s|$)|"(?:[^"]|"+[^"\s])*"+(?:\s|$)|#.*|\S+') if NOT starts_with(x, '#')] toks FROM s
+  WHERE regexp_matches(tag, '^_cell_length_[abc]$') OR (event IS NULL AND tag <> '' AND NOT starts_with(tag, '#') AND state = 'header')),
+rd AS (SELECT row_id, tok.block_id, line_no, CASE WHEN is_cell THEN [tag] ELSE hs END hs, CASE WHEN is_cell THEN toks[2:] ELSE toks END cells FROM tok LEFT JOIN heads h ON h.block_id = tok.block_id AND h.loop_no = tok.loop_no),
+sh AS (SELECT *, CASE WHEN len([x for x in cells if (x[1] = '''' AND NOT (len(x) > 1 AND x[-1] = '''')) OR (x[1] = '"' AND NOT (len(x) > 1 AND x[-1] = '"'))]) > 0 THEN 0 WHEN len(cells) <> len(hs) THEN 1 END shape FROM rd WHERE hs IS NOT NULL),
+val AS (SELECT row_id, block_id, line_no, hs[i] col, cells[i] v FROM sh, unnest(range(1, len(hs) + 1)) q(i) WHERE shape IS NULL),
+num AS (SELECT *, regexp_matches(v, '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?(?:\([0-9]+\))?$') ok FROM val),
+n2 AS (SELECT *, CASE WHEN ok THEN regexp_replace(v, '\([0-9]+\)$', '')::DOUBLE END x FROM num),
+bad AS (SELECT row_id, shape sev FROM sh WHERE shape IS NOT NULL UNION ALL
+  SELECT row_id, CASE WHEN NOT ok AND v NOT IN ('?', '.') THEN 2 WHEN starts_with(col, '_cell_length_') AND x <= 0 THEN 3 WHEN col = '_atom_site_occupancy' AND (x < 0 OR x > 1) THEN 3 END FROM n2
+  WHERE regexp_matches(col, '^(_cell_length_[abc]|_atom_site_fract_[xyz]|_atom_site_occupancy)$')),
+err AS (SELECT row_id, min(sev) sev FROM bad WHERE sev IS NOT NULL GROUP BY row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": _P4 + "SELECT row_id, ['quoting', 'column_count', 'bad_number', 'out_of_range'][sev + 1] reason FROM err",
+        "p4_clean": _P4 + 'SELECT row_id, block_id, line_no, col "column", v "value", x number FROM n2 WHERE row_id NOT IN (SELECT row_id FROM err)',
+    }

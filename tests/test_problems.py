@@ -45,6 +45,17 @@ def test_cif_long_block_over_chunks(spark, monkeypatch):
     assert rejects(spark, rows) == {27: "bad_number", 31: "bad_number"}
 
 
+def test_cif_columns_are_those_of_the_line_s_own_loop(spark, monkeypatch):
+    lines = ["loop_", "_atom_site_label", "_atom_site_fract_x", "_atom_site_fract_y", "_atom_site_fract_z", "Te1 0 0 0", "Cs1 0.5 0.5 x"]
+    lines += ["loop_", "_atom_site_aniso_label", "_atom_site_aniso_U_11", "Te1 0.01", "Cs1 0.02"]
+    lines += ["loop_", "_atom_site_label", "_atom_site_occupancy", "Te2 1", "Te3 2", "Te4 0 0 0"]
+    want = {7: "bad_number", 17: "out_of_range", 18: "column_count"}
+    assert rejects(spark, block(lines)) == want
+    monkeypatch.setattr(cif_rows, "CHUNK", 4)
+    assert rejects(spark, block(lines)) == want
+    assert len(cif_rows.clean_values(spark.createDataFrame(block(lines), CIF)).collect()) == 4 + 2
+
+
 def test_cif_empty_and_null(spark):
     assert rejects(spark, []) == {}
     assert rejects(spark, [(1, 1, 1, None)]) == {}
