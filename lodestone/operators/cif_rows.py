@@ -49,28 +49,29 @@ def read_lines(cif_lines: DataFrame) -> DataFrame:
     lines = cif_lines.select("row_id", "block_id", "line_no", F.coalesce("raw_line", F.lit("")).alias("raw")).withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     order = Window.partitionBy("block_id", "chunk").orderBy("line_no", "row_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("again", F.coalesce(F.lag("line_no").over(order) == F.col("line_no"), F.lit(False))).withColumn("mark", F.col("raw").startswith(";"))
-    lines = lines.withColumn("marks", F.sum((F.col("mark") & ~F.col("again")).cast("long")).over(so_far)).withColumn("event", _event(_first(F.col("raw"))))
+    lines = lines.select("*", F.col("raw").startswith(";").alias("mark"), _event(_first(F.col("raw"))).alias("event"), F.coalesce(F.lag("line_no").over(order) == F.col("line_no"), F.lit(False)).alias("again"))
+    lines = lines.select("*", F.sum((F.col("mark") & ~F.col("again")).cast("long")).over(so_far).alias("marks"))
     # case 0: the chunk begins outside a text field; case 1: inside
-    for p in (0, 1):
-        e = F.when(~F.col("mark") & ((F.col("marks") + p) % 2 == 0), F.col("event"))
-        starts = F.coalesce(((e == "word") & ~F.col("again")).cast("long"), F.lit(0))
-        lines = lines.withColumn(f"state{p}", F.last(e, True).over(so_far)).withColumn(f"loop{p}", F.sum(starts).over(so_far))
+    seen = [F.when(~F.col("mark") & ((F.col("marks") + p) % 2 == 0), F.col("event")) for p in (0, 1)]
+    starts = [F.coalesce(((e == "word") & ~F.col("again")).cast("long"), F.lit(0)) for e in seen]
+    lines = lines.select("*", *[F.last(e, True).over(so_far).alias(f"state{p}") for p, e in enumerate(seen)], *[F.sum(v).over(so_far).alias(f"loop{p}") for p, v in enumerate(starts)])
+    lines = Scratch(cif_lines.sparkSession, "cif-lines").keep(lines.where(F.col("mark") | F.col("event").isNotNull() | F.col("raw").rlike(r"^\s*[^\s#]")))
     last = F.struct("line_no", "row_id")
-    chunks = lines.groupBy("block_id", "chunk").agg(F.max("marks").alias("marks"), *[F.max_by(f"{c}{p}", last).alias(f"{c}{p}") for p in (0, 1) for c in ("state", "loop")])
+    chunks = lines.groupBy("block_id", "chunk").agg(F.max("marks").alias("marks"), *[F.max_by(f"state{p}", last).alias(f"state{p}") for p in (0, 1)], *[F.max(f"loop{p}").alias(f"loop{p}") for p in (0, 1)])
     before = Window.partitionBy("block_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("inside", F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2 == 1)
     case = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    carry = chunks.select("block_id", "chunk", "inside", F.last(case("state"), True).over(before).alias("old_state"), F.coalesce(F.sum(case("loop")).over(before), F.lit(0)).alias("old_loop"))
-    full = lines.join(carry, ["block_id", "chunk"])
-    full = full.where(~F.col("mark") & ((F.col("marks") + F.col("inside").cast("int")) % 2 == 0)).withColumn("tag", _first(F.col("raw")))
-    full = full.withColumn("state", F.coalesce(case("state"), "old_state")).withColumn("loop", F.col("old_loop") + case("loop"))
-    data = F.col("event").isNull() & (F.col("tag") != "") & ~F.col("tag").startswith("#")
-    full = full.withColumn("kind", F.when(F.col("tag").rlike("^_cell_length_[abc]$"), "cell").when(data & (F.col("state") == "header"), "site"))
-    # the columns of each loop are brought to the chunks that have lines of it: lines aren't shuffled again
-    heads = full.where("event = 'header' and not again").groupBy("block_id", "loop").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "tag"))), lambda h: h["tag"]).alias("columns"))
-    here = full.where("kind = 'site'").select("block_id", "chunk", "loop").distinct().join(heads, ["block_id", "loop"])
-    lined = full.where("kind is not null").join(here, ["block_id", "chunk", "loop"], "left")
+    carry = chunks.select("block_id", "chunk", "inside", F.last(case("state"), True).over(before).alias("old_state"), F.coalesce(F.sum(case("loop")).over(before), F.lit(0)).alias("old_loop"), case("loop").alias("loops"))
+    outside = ~F.col("mark") & ((F.col("marks") + F.col("inside").cast("int")) % 2 == 0)
+    # the columns of every loop that a chunk has lines of, in one row a chunk: lines are joined once
+    of_header = lines.where("event = 'header' and not again").select("block_id", "chunk", "line_no", "mark", "marks", "loop0", "loop1", _first(F.col("raw")).alias("tag")).join(carry, ["block_id", "chunk"]).where(outside)
+    heads = of_header.groupBy("block_id", (F.col("old_loop") + case("loop")).alias("loop")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "tag"))), lambda h: h["tag"]).alias("columns"))
+    loops = carry.select("block_id", "chunk", F.posexplode(F.sequence(F.col("old_loop"), F.col("old_loop") + F.col("loops"))).alias("k", "loop")).join(heads, ["block_id", "loop"], "left")
+    loops = loops.groupBy("block_id", "chunk").agg(F.map_from_entries(F.collect_list(F.when(F.col("columns").isNotNull(), F.struct("k", "columns")))).alias("columns"))
+    full = lines.drop("again").join(carry.select("block_id", "chunk", "inside", "old_state").join(loops, ["block_id", "chunk"]), ["block_id", "chunk"]).where(outside).withColumn("tag", _first(F.col("raw")))
+    data = F.col("event").isNull() & ~F.col("tag").startswith("#") & (F.coalesce(case("state"), "old_state") == "header")
+    lined = full.withColumn("kind", F.when(F.col("tag").rlike("^_cell_length_[abc]$"), "cell").when(data, "site")).where("kind is not null")
+    lined = lined.withColumn("columns", F.element_at("columns", case("loop").cast("int")))
     plain = F.split(F.trim(F.regexp_replace("raw", r"\s+", " ")), " ")
     odd = F.filter(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
     tokens = F.when(F.col("raw").rlike("['\"#]"), odd).otherwise(plain)
