@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import units as U
 from lodestone.operators import bands as B
 from lodestone.operators import collection as C
+from lodestone.operators import series as SE
 from lodestone.operators import stability as S
 from lodestone.session import table
 
@@ -172,13 +173,13 @@ def scale_cell(spark, d):
 
 
 _PH = """ph AS (SELECT label, energy * CASE WHEN lower(unit) LIKE 'r%' THEN 13.605693122994 WHEN lower(unit) LIKE 'h%' THEN 27.211386245988 WHEN lower(unit) LIKE 'm%' THEN 0.001 ELSE 1 END e,
-  list_sort([k for k in map_keys(formula) if formula[k] > 0]) els, formula, list_sum(map_values(formula)) n FROM phases WHERE NOT coalesce(excluded, false) AND energy IS NOT NULL),
+  list_sort([k for k in map_keys(formula) if formula[k] > 0]) els, formula, list_sum(map_values(formula)) n, coalesce(excluded, false) x_ FROM phases WHERE energy IS NOT NULL),
 p AS (SELECT * FROM ph WHERE len(els) > 0),
-ref AS (SELECT els[1] el, min(e / n) r FROM p WHERE len(els) = 1 GROUP BY 1),
+ref AS (SELECT els[1] el, min(e / n) r FROM p WHERE len(els) = 1 AND NOT x_ GROUP BY 1),
 part AS (SELECT label, e, n, k.el el, formula[k.el] q FROM p, unnest(els) k(el)),
-fe AS (SELECT label, (e - sum(q * r)) / n y FROM part LEFT JOIN ref USING (el) GROUP BY label, e, n HAVING count(r) = count(*)),
-b AS (SELECT els[1] el1, els[2] el2, label, formula[els[2]] / n x, y FROM p JOIN fe USING (label) WHERE len(els) = 2),
-lo AS (SELECT el1, el2, x, min(y) y FROM b GROUP BY ALL UNION ALL SELECT DISTINCT el1, el2, t.x, 0.0 FROM b, (VALUES (0.0), (1.0)) t(x)),
+fe AS (SELECT label, CASE WHEN count(r) = count(*) THEN (e - sum(q * r)) / n END y FROM part LEFT JOIN ref USING (el) GROUP BY label, e, n),
+b AS (SELECT els[1] el1, els[2] el2, label, formula[els[2]] / n x, y, x_ FROM p JOIN fe USING (label) WHERE len(els) = 2 AND y IS NOT NULL),
+lo AS (SELECT el1, el2, x, min(y) y FROM b WHERE NOT x_ GROUP BY ALL UNION ALL SELECT DISTINCT el1, el2, t.x, 0.0 FROM b, (VALUES (0.0), (1.0)) t(x)),
 ch AS (SELECT l.el1, l.el2, l.x x1, l.y y1, r.x x2, r.y y2 FROM lo l JOIN lo r ON l.el1 = r.el1 AND l.el2 = r.el2 AND l.x < r.x)"""
 
 
@@ -199,12 +200,26 @@ def formation_energy(spark, d):
 
 
 @query(f"""WITH {_PH}, h AS (SELECT label, y, min(y1 + (y2 - y1) * (x - x1) / (x2 - x1)) hull FROM b JOIN ch USING (el1, el2) WHERE x >= x1 AND x <= x2 GROUP BY label, y)
-SELECT label, round(y, 6) formation_energy, round(y - hull, 6) stability FROM h UNION ALL SELECT label, round(y, 6), round(y, 6) FROM fe JOIN p USING (label) WHERE len(els) = 1""")
+SELECT label, round(fe.y, 6) formation_energy, round(CASE WHEN len(els) = 1 THEN fe.y ELSE h.y - hull END, 6) stability FROM p JOIN fe USING (label) LEFT JOIN h USING (label)""")
 def stability(spark, d):
     s = S.stability(table(spark, d, "phases"))
     return s.select("label", F.round("formation_energy", 6).alias("formation_energy"), F.round("stability", 6).alias("stability"))
 
 
+@query(f"""WITH {_PH}, o AS (SELECT DISTINCT l.el1, l.el2, l.x, l.y FROM lo l WHERE NOT EXISTS (SELECT 1 FROM ch c WHERE c.el1 = l.el1 AND c.el2 = l.el2 AND c.x1 < l.x AND c.x2 > l.x AND c.y1 + (c.y2 - c.y1) * (l.x - c.x1) / (c.x2 - c.x1) <= l.y))
+SELECT el1, el2, round(x, 6) x, round(min(y), 6) y FROM o WHERE EXISTS (SELECT 1 FROM b WHERE b.el1 = o.el1 AND b.el2 = o.el2 AND NOT x_) GROUP BY el1, el2, x""")
+def lower_hull(spark, d):
+    """Corners of the lower hull of every system."""
+    h = S.hull_lines(S.binary_points(table(spark, d, "phases")))
+    return h.select("el1", "el2", F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("el1", "el2", F.round("p.xs", 6).alias("x"), F.round("p.ys", 6).alias("y"))
+
+
+@query(f"WITH {_PH} SELECT el1 || '-' || el2 system, round(x, 6) x, round(min(y), 6) low, round(max(y), 6) high FROM b GROUP BY el1, el2, round(x, 6)")
+def min_max_hull(spark, d):
+    p = S.binary_points(table(spark, d, "phases")).select(F.concat_ws("-", "el1", "el2").alias("system"), F.round("x", 6).alias("x"), "y")
+    return SE.extremes(p, "system", "x", "y").select("system", "x", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("""WITH k AS (SELECT bands_id, k_idx, max(CASE WHEN occ > 1e-6 THEN energy END) v, min(CASE WHEN occ <= 1e-6 THEN energy END) c FROM output_bands WHERE energy IS NOT NULL AND occ IS NOT NULL GROUP BY ALL)
 SELECT bands_id, max(v) vbm, min(c) cbm, round(min(c) - max(v), 6) gap, round(min(c - v), 6) direct_gap FROM k GROUP BY bands_id""")
 def band_gap(spark, d):
