@@ -10,7 +10,7 @@ import pytest
 from conftest import DATA
 from oracle import duck, rows
 
-from lodestone.llm import entity_match, leakage, mixing, near_duplicates, queries, reading_level, survivors
+from lodestone.llm import entity_match, language, leakage, mixing, near_duplicates, queries, reading_level, survivors
 
 STRUCT = "seq long, elements array<string>, positions array<array<double>>, cell array<array<double>>, icsd_ids array<int>, node string, tile int"
 
@@ -213,7 +213,62 @@ def test_levels_without_grades(spark):
 
 def test_every_word_has_its_own_node():
     words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(100_000)]
-    assert len(reading_level.features(" ".join(words))) == 2 * len(words) - 1  # words and pairs
+    hashes, doc = language.word_hashes([" ".join(words), "", "a-b it's 12 a-b it's"])
+    assert (doc == 0).sum() == 2 * len(words) - 1  # words and pairs
+    assert (doc == 2).sum() == 2 + 3 and not (doc == 1).any()
+    assert len(np.unique(hashes[doc == 0])) == 2 * len(words) - 1
+
+
+FOREIGN = {
+    "Dutch": "De kat zit op de mat en kijkt naar buiten terwijl het regent. Het monster wordt in de oven verwarmd tot de gewenste temperatuur is bereikt.",
+    "Polish": "Kot siedzi na macie i patrzy przez okno podczas deszczu. Próbka jest ogrzewana w piecu do osiągnięcia wymaganej temperatury.",
+    "Swedish": "Katten sitter på mattan och tittar ut genom fönstret när det regnar. Provet värms i ugnen tills önskad temperatur har uppnåtts.",
+    "Portuguese": "O gato está sentado no tapete e olha pela janela enquanto chove. A amostra é aquecida no forno até atingir a temperatura desejada.",
+    "Russian": "Кошка сидит на коврике и смотрит в окно, пока идёт дождь. Образец нагревают в печи до нужной температуры.",
+    "Hungarian": "A macska a szőnyegen ül és kinéz az ablakon, miközben esik az eső. A mintát a kemencében a kívánt hőmérsékletre hevítik.",
+    "Spanish": "El gato se sienta en la alfombra y mira por la ventana mientras llueve. La muestra se calienta en el horno hasta la temperatura deseada.",
+    "log": "    1 mix  5.371E-01    -806.22005112  4.95E-01\n    2 DIIS  1.937E-01    -806.50441415  7.10E-01\n    3 OT  3.349E-01    -806.57601091  1.74E-01",
+    "code": "def run(x=0, **kw):\n    return {k: v[0] for k, v in kw.items() if k != 'x'}\nassert run(a=[1]) == {'a': 1}  # 0x7f3a",
+}
+ENGLISH = [
+    "The cat sits on the mat and looks out of the window while it rains. The sample is heated in the furnace until the wanted temperature is reached.",
+    "We computed the band structure along a path of high symmetry, and the gap at the zone centre agrees with the measurements to within a few percent.",
+    "Ice melts when it gets warm. You can see it drip. Put some salt on it and look what happens then!",
+]
+
+
+@pytest.fixture(scope="module")
+def sentences(spark):
+    t = lambda name: spark.read.parquet(f"{DATA}/sf0.01/{name}.parquet")
+    return language.fit_sentences(t("documents").join(t("level_labels").select("doc_id").distinct(), "doc_id", "left_semi"), t("documents"))
+
+
+def test_sentences_of_other_languages_and_logs_are_set_aside(sentences):
+    assert sentences.accepts([language.plain(x) for x in ENGLISH]).all()
+    assert not sentences.accepts([language.plain(x) for x in FOREIGN.values()]).any()
+    assert not sentences.accepts(["", "..", "a"]).any()
+
+
+def test_sentences_on_held_out_documents(spark, sentences):
+    """The model of 1,000 documents against the tags of 10,000, which are mostly right, and the grades, which only English sentences have."""
+    d = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("text is not null").toPandas()
+    got = sentences.accepts([language.plain(x) for x in d.text])
+    tag = d.lang.str.strip().str.lower().str[:2]
+    graded = d.doc_id.isin(spark.read.parquet(f"{DATA}/sf0.1/level_labels.parquet").toPandas().doc_id)
+    assert got[graded].all()
+    assert got[tag.isin(["de", "fr"])].mean() < 0.1
+
+
+def test_levels_agree_with_grades_held_out(spark):
+    """A quarter of the graded documents is held out of real texts; the others are clamped."""
+    t = lambda name: spark.read.parquet(f"{DATA}/sf0.1/{name}.parquet")
+    labels = t("level_labels").toPandas()
+    held = labels.doc_id % 4 == 1
+    got = reading_level.reading_levels(t("documents"), spark.createDataFrame(labels[~held])).toPandas()
+    both = labels[held].merge(got, on="doc_id", suffixes=("", "_found"))
+    assert len(both) == held.sum()
+    assert (both.reading_level == both.reading_level_found).mean() > 0.9
+    assert ((both.reading_level - both.reading_level_found).abs() <= 1).all()
 
 
 def test_words_that_share_a_short_hash_keep_their_levels(spark):
