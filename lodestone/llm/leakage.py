@@ -5,7 +5,8 @@ window of `min_words` words is then a substring of at least L characters, L bein
 hashes of all windows of w = L - k + 1 k-grams, so every shared stretch of L characters shares at least one fingerprint (Schleimer, Wilkerson
 and Aiken, 2003). Hits are extended to the exact question: does the text hold `min_words` consecutive words of the passage, from word edge to word edge?
 
-The test set's fingerprints are a small array that each task holds; a test set of more than `hold` words is searched in blocks of that size.
+Each task holds the test set's fingerprints with their items, two numbers each, and the words of its passages; windows are only made of items that a text shares a
+fingerprint with. A test set of more than `hold` words is searched in blocks of that size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,16 +42,6 @@ def passage_words(text: str | None) -> list[str]:
     return [w for w in (spaced(p).replace(" ", "") for p in (text or "").split()) if w]
 
 
-def windows(items: list[tuple[int, str]], min_words: int) -> dict[str, set[int]]:
-    """Every run of min_words words, joined, with the items that hold it. A passage of fewer words has none: it can't leak by this definition."""
-    out: dict[str, set[int]] = {}
-    for item, text in items:
-        w = passage_words(text)
-        for k in range(len(w) - min_words + 1):
-            out.setdefault("".join(w[k : k + min_words]), set()).add(item)
-    return out
-
-
 def fingerprints(stream: bytes, k: int, w: int) -> np.ndarray:
     """Minimum k-gram hash of each window of w k-grams, distinct."""
     b = np.frombuffer(stream, np.uint8)
@@ -94,80 +84,87 @@ def _minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class TestSet:
-    """Test passages prepared for the search: windows, their fingerprints, and the automaton that extends hits."""
+    """Test passages prepared for the search: their words, and their fingerprints with the place of the item each belongs to."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
-        self.windows = windows(items, min_words)
-        length = min(map(len, self.windows), default=0)
+        self.min_words = min_words
+        held = [(i, w) for i, w in ((i, passage_words(t)) for i, t in items) if len(w) >= min_words]
+        self.items, self.words = [i for i, _ in held], [" ".join(w) for _, w in held]
+        length = min((sum(map(len, w[k : k + min_words])) for _, w in held for k in range(len(w) - min_words + 1)), default=0)
         self.k = max(1, length // 2)
         self.w = max(1, length - self.k + 1)
-        prints = [fingerprints("".join(passage_words(t)).encode(), self.k, self.w) for _, t in items]
-        self.prints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)])) if self.windows else np.zeros(0, np.uint64)
-
-    def automaton(self):
-        a = ahocorasick.Automaton()
-        for s, items in self.windows.items():
-            a.add_word(s, (len(s), tuple(sorted(items))))
-        a.make_automaton()
-        return a
-
-
-def _leaked(automaton, text: str) -> set[int]:
-    """Items of which text holds a window from word edge to word edge."""
-    stream = text.replace(" ", "")
-    found: set[int] = set()
-    edge = None
-    for end, (n, items) in automaton.iter(stream):
-        if found.issuperset(items):
-            continue
-        if edge is None:
-            gaps = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-            edge = set((gaps - np.arange(len(gaps))).tolist()) | {0, len(stream)}
-        if end + 1 - n in edge and end + 1 in edge:
-            found.update(items)
-    return found
+        prints = [fingerprints("".join(w).encode(), self.k, self.w) for _, w in held]
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(p) for p in prints])
+        value = np.concatenate([*prints, np.zeros(0, np.uint64)])
+        order = np.argsort(value, kind="stable")
+        self.prints, self.owner = value[order], owner[order]
+
+    def windows(self, at: int) -> list[str]:
+        """Every run of min_words words of an item, joined."""
+        w = self.words[at].split(" ")
+        return list(dict.fromkeys("".join(w[k : k + self.min_words]) for k in range(len(w) - self.min_words + 1)))
+
+
+class _Text:
+    """A text as a stream of letters and digits, with the places where words begin or end."""
+
+    def __init__(self, text: str):
+        self.stream = text.replace(" ", "")
+        gaps = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+        self.edge = set((gaps - np.arange(len(gaps))).tolist()) | {0, len(self.stream)}
+
+    def holds(self, window: str) -> bool:
+        at = self.stream.find(window)
+        while at >= 0:
+            if at in self.edge and at + len(window) in self.edge:
+                return True
+            at = self.stream.find(window, at + 1)
+        return False
 
 
 def _search(test: TestSet):
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None
+        made: dict[int, list[str]] = {}
         for b in batches:
             texts = [spaced(t) if t else "" for t in b.column(1).to_pylist()]
-            hit = _holders(texts, test)
-            docs, items = [], []
-            ids = b.column(0)
-            for i in hit:
-                automaton = automaton or test.automaton()
-                found = _leaked(automaton, texts[i])
-                docs += [ids[i].as_py()] * len(found)
-                items += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], schema=out)
+            docs, items, known = [], [], {}
+            for d, at in _candidates(texts, test):
+                if at not in made:
+                    if len(made) >= 1000:
+                        made.clear()
+                    made[at] = test.windows(at)
+                if d not in known:
+                    known = {d: _Text(texts[d])}
+                if any(map(known[d].holds, made[at])):
+                    docs.append(d)
+                    items.append(test.items[at])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64())], schema=out)
 
     return run
 
 
-def _holders(texts: list[str], test: TestSet) -> list[int]:
-    """Places of the texts that share a fingerprint with the test set."""
+def _candidates(texts: list[str], test: TestSet) -> list[tuple[int, int]]:
+    """(text, item) that share a fingerprint, both as places."""
     streams = [t.replace(" ", "").encode() for t in texts]
     need = test.k + test.w - 1
     long = [i for i, s in enumerate(streams) if len(s) >= need]
     if not long or not len(test.prints):
         return []
-    # one array for the batch; k-grams across two texts only add hits that the exact step refuses
+    # one array for the batch; k-grams across two texts only add candidates that the exact step refuses
     joined = np.frombuffer(b"".join(streams[i] for i in long), np.uint8)
     start = np.concatenate([[0], np.cumsum([len(streams[i]) for i in long])])
     m = _minima(_hashes(joined, test.k), test.w)
     new = np.append(True, m[1:] != m[:-1])
     at = np.flatnonzero(new)
-    v = m[at]
-    place = np.searchsorted(test.prints, v).clip(max=len(test.prints) - 1)
-    found = at[test.prints[place] == v]
-    # a run of equal minima may reach into the next text
-    reach = np.append(at[1:], len(m))[test.prints[place] == v]
-    first, last = np.searchsorted(start, found, "right") - 1, np.searchsorted(start, reach - 1, "right") - 1
-    return sorted({long[j] for a, z in zip(first, last) for j in range(a, min(z, len(long) - 1) + 1)})
+    lo, hi = np.searchsorted(test.prints, m[at], "left"), np.searchsorted(test.prints, m[at], "right")
+    hit = hi > lo
+    # a run of equal minima may reach into the next texts
+    reach = np.append(at[1:], len(m))[hit]
+    first, last = np.searchsorted(start, at[hit], "right") - 1, np.searchsorted(start, reach - 1, "right") - 1
+    found = {(long[j], int(o)) for a, z, x, y in zip(first, last, lo[hit], hi[hit]) for j in range(a, min(z, len(long) - 1) + 1) for o in test.owner[x:y]}
+    return sorted(found)
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 12, hold: int = 2_000_000) -> DataFrame:

@@ -11,8 +11,6 @@ No window or task takes a whole source: texts are ordered within hash buckets of
 from __future__ import annotations
 
 import base64
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +22,23 @@ from pyspark.sql import functions as F
 from lodestone.session import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: the pattern that splits a text before the merges of the byte-level rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 4096  # hash buckets of a source: blocks of texts that the tree splits
+FAN = 16  # shards or groups of shards into which one step of the tree splits a node
 
 
 def source_name(c: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", "_")
 
 
-def _counter(path: str, pattern: str | None):
+def _counter(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pat = pattern or r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-        enc = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [sum(len(enc.encode_ordinary(part)) for part in _parts(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -58,13 +58,8 @@ def _parts(text: str, size: int = 200_000) -> Iterator[str]:
         at = end
 
 
-def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, tokens) with sources by their proper names; null and empty texts have no tokens."""
-    pattern = None
-    readme = os.path.join(os.path.dirname(tokenizer), "__init__.py")
-    if os.path.exists(readme):
-        m = re.search(r"PATTERN\s*=\s*r?(['\"]{1,3})(.*?)\1\s*$", open(readme).read(), re.S | re.M)
-        pattern = m[2] if m and "\\p{L}" in m[2] else None
+def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, source, tokens) with sources by their proper names; null and empty texts have no tokens. `pattern` belongs to the rank file `tokenizer`."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
     return docs.mapInArrow(_counter(tokenizer, pattern), "doc_id long, source string, tokens long")
 
@@ -82,24 +77,25 @@ def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     )
     plan = want.join(per.withColumnRenamed("source", "key"), "key", "left").withColumn("total", F.lit(total).cast("long"))
     plan = plan.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("texts", F.coalesce("texts", F.lit(0)))
-    plan = plan.withColumn("wanted", F.round(F.col("target_share") * F.col("total")).cast("long")).withColumn("available", F.col("tokens") * F.col("max_repeats"))
+    plan = plan.withColumn("wanted", F.ceil(F.col("target_share") * F.col("total")).cast("long")).withColumn("available", F.col("tokens") * F.col("max_repeats"))
     return plan.withColumn("quota", F.least("wanted", "available")).withColumn("short", F.col("available") < F.col("target_share") * F.col("total"))
 
 
-def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, blocks): an exact random division of counts[block] copies among the shards, each shard getting as near as possible the same number.
+def split_tree(counts: np.ndarray, shards: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """(shards, blocks): an exact random division of counts[block] copies among the shards, each shard getting as near as possible its weight (1 unless given).
 
     At every node the copies of the left half are a multivariate hypergeometric draw from those of the node.
     """
     rng = np.random.default_rng(seed)
     out = np.zeros((shards, len(counts)), np.int64)
+    share = np.concatenate([[0], np.cumsum(np.ones(shards, np.int64) if weights is None else weights)]).tolist()
 
     def go(have: np.ndarray, lo: int, hi: int) -> None:
         if hi - lo == 1:
             out[lo] = have
             return
         mid = (lo + hi) // 2
-        take = int(have.sum()) * (mid - lo) // (hi - lo)
+        take = int(have.sum()) * (share[mid] - share[lo]) // (share[hi] - share[lo])
         left = _hypergeometric(rng, have, take)
         go(left, lo, mid)
         go(have - left, mid, hi)
@@ -111,20 +107,58 @@ def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def _hypergeometric(rng: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
     """One multivariate hypergeometric draw, block after block, for totals of any size."""
     out, left = np.zeros_like(have), int(have.sum())
-    for i, h in enumerate(have):
-        left -= int(h)
+    for i, h in enumerate(have.tolist()):
+        left -= h
         if take <= 0:
             break
-        if h + left < 1_000_000_000:
-            k = int(rng.hypergeometric(int(h), left, take)) if h else 0
-        else:  # numpy's limit: a normal draw with the same mean and variance, within the possible range
-            n = h + left
-            mean = take * h / n
-            k = int(np.clip(round(rng.normal(mean, np.sqrt(max(mean * (1 - h / n) * (n - take) / max(n - 1, 1), 0)))), max(0, take - left), min(h, take)))
+        k = _draw(rng, h, left, take) if h else 0
         out[i], take = k, take - k
     return out
 
 
+def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` copies drawn from good + bad are good. Where the library's sampler ends, at a billion, the distribution is inverted instead: its
+    terms are summed over twelve deviations to either side of its peak, beyond which less lies than a double can tell."""
+    n = good + bad
+    if n < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    peak = min(max((take + 1) * (good + 1) // (n + 2), low), high)
+    reach = int(12 * np.sqrt(take * (good / n) * (bad / n) * ((n - take) / (n - 1)))) + 12
+    a, b = max(low, peak - reach), min(high, peak + reach)
+    k = np.arange(a, b, dtype=float)
+    step = np.log((good - k) * (take - k)) - np.log((k + 1) * (bad - take + k + 1))
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    p = np.cumsum(np.exp(log - log.max()))
+    return a + int(np.searchsorted(p, rng.random() * p[-1], "right").clip(max=b - a))
+
+
+def _split_node(shards: int, seed: int):
+    """One step of the tree for one node, the shards lo to hi: its blocks' copies go to at most FAN groups of neighbouring shards. A node holds one row a block."""
+
+    def run(h: pd.DataFrame) -> pd.DataFrame:
+        h = h.sort_values(["source", "bucket"], kind="stable")
+        lo, hi = int(h.lo.iloc[0]), int(h.hi.iloc[0])
+        edges = np.unique(np.linspace(lo, hi, min(FAN, hi - lo) + 1).astype(np.int64))
+        tree = split_tree(h.n.to_numpy(), len(edges) - 1, hash((seed, lo, hi)) & 0x7FFFFFFF, np.diff(edges))
+        child, block = np.nonzero(tree)
+        return pd.DataFrame({"source": h.source.to_numpy()[block], "bucket": h.bucket.to_numpy()[block], "lo": edges[child], "hi": edges[child + 1], "n": tree[child, block]})
+
+    return run
+
+
+def shard_blocks(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, bucket, lo, n): copies of every block (source, bucket, n) in each shard `lo`, by levels of the splitting tree. The nodes of a level are split by
+    different tasks; each holds BUCKETS rows a source of the targets at most, and nothing comes to the driver."""
+    scratch, width = Scratch(blocks.sparkSession, "mix-tree"), shards
+    nodes = blocks.select("source", "bucket", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "n")
+    while width > 1:
+        split = nodes.where("hi - lo > 1").groupBy("lo", "hi").applyInPandas(_split_node(shards, seed), "source string, bucket int, lo long, hi long, n long")
+        nodes = scratch.keep(nodes.where("hi - lo = 1").unionByName(split))
+        width = -(-width // FAN)
+    return nodes.select("source", "bucket", "lo", "n")
+
+
 def mixed_copies(counts: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """(shard, place, source, doc_id, copy, tokens): every copy of every text in the mix, once.
 
@@ -146,16 +180,16 @@ def mixed_copies(counts: DataFrame, plan: DataFrame, shards: int = 16, seed: int
     copies = F.least(full + part, F.col("max_repeats").cast("long"))
     rows = scratch.keep(rows.withColumn("copies", copies).where("copies > 0").select("source", "bucket", "doc_id", "tokens", "copies", "h"))
     blocks = rows.groupBy("source", "bucket").agg(F.sum("copies").alias("n"))
-    # the tree works on block counts only: BUCKETS rows for each source of the targets
-    known = blocks.toPandas().sort_values(["source", "bucket"])
-    tree = split_tree(known.n.to_numpy(), shards, seed) if len(known) else np.zeros((shards, 0), np.int64)
-    ends = pd.DataFrame({"source": known.source, "bucket": known.bucket, "ends": [c.tolist() for c in np.cumsum(tree, 0).T]})
-    ends = spark.createDataFrame(ends, "source string, bucket int, ends array<long>") if len(ends) else spark.createDataFrame([], "source string, bucket int, ends array<long>")
+    per_shard = shard_blocks(blocks, shards, seed)
+    ends = per_shard.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("s"))
+    # running ends of the shards within a block, and the shards
+    so_far = F.aggregate("s", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x["n"])))
+    ends = ends.select("source", "bucket", F.when(F.size("s") > 0, so_far).alias("ends"), F.transform("s", lambda x: x["lo"]).alias("shards"))
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     each = each.withColumn("r", F.xxhash64("h", "copy", F.lit(seed + 1)))
     place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("r", "doc_id", "copy"))
     each = each.withColumn("k", place).join(ends, ["source", "bucket"])
-    shard = F.size(F.filter("ends", lambda e: e < F.col("k")))
+    shard = F.get("shards", F.size(F.filter("ends", lambda e: e < F.col("k")))).cast("int")
     return each.select(shard.alias("shard"), F.xxhash64("r", F.lit(seed + 2)).alias("place"), "source", "doc_id", "copy", "tokens")
 
 
@@ -176,7 +210,9 @@ def mix_report(documents: DataFrame, targets: DataFrame, shards: int = 16, seed:
     return out.select("source", "target_share", (F.col("mixed") / F.nullif(total, F.lit(0))).alias("actual_share"), (F.col("mixed") / F.nullif(F.col("total"), F.lit(0))).alias("share_of_wanted_total"), F.col("mixed").alias("mixed_tokens"), F.coalesce("repeats", F.lit(0)).alias("repeats"), "max_repeats", "short")
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
-    """(source) of the targets that can't reach their share of as many tokens as all documents have."""
+def short_sources(documents: DataFrame, targets: DataFrame, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+    """(source) of the targets whose drawn copies fall short of their share of as many tokens as all documents have: the mix takes all a source can give before it does."""
     counts = Scratch(documents.sparkSession, "mix-counts").keep(token_counts(documents, **how))
-    return mix_plan(counts, targets).where("short").select("source")
+    plan = mix_plan(counts, targets)
+    drawn = mixed_copies(counts, plan, shards, seed).groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("drawn"))
+    return plan.join(drawn, "key", "left").where(F.coalesce("drawn", F.lit(0)) < F.col("target_share") * F.col("total")).select("source")

@@ -140,6 +140,16 @@ def test_leaks_against_brute_force(spark):
     assert got == want and got
 
 
+def test_leaks_in_blocks_of_the_test_set(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(25))) for i in range(30)]
+    docs = [(d, "before " + " ".join(items[d % 30][1].split()[3:16]) + " after") for d in range(60)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    one = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(a, b).collect()}
+    assert one == {(d, d % 30) for d in range(60)}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_passages(a, b, hold=100).collect()} == one
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -183,6 +193,30 @@ def test_split_tree_is_exact():
     assert t.sum(0).tolist() == [5, 0, 17, 3] and max(t.sum(1)) - min(t.sum(1)) <= 1
 
 
+def test_split_tree_in_levels_is_exact(spark):
+    blocks = spark.createDataFrame([("a", b, 3 * b) for b in range(1, 30)] + [("b", 0, 1)], "source string, bucket int, n long")
+    got = mixing.shard_blocks(blocks, 300, 7).toPandas()
+    assert got.groupby(["source", "bucket"]).n.sum().to_dict() == {("a", b): 3 * b for b in range(1, 30)} | {("b", 0): 1}
+    sizes = got.groupby("lo").n.sum()
+    assert sizes.max() - sizes.min() <= 2 and got.lo.between(0, 299).all() and (got.n > 0).all()
+
+
+def test_draws_beyond_the_library_s_limit_follow_the_distribution(monkeypatch):
+    rng = np.random.default_rng(0)
+    good, bad, take = 400, 600, 300
+    real = np.array([rng.hypergeometric(good, bad, take) for _ in range(4000)])
+    whole = [mixing._draw(rng, 3_000_000_000, 5_000_000_000, 10) for _ in range(2000)]
+    assert abs(np.mean(whole) - 3.75) < 0.15 and min(whole) >= 0 and max(whole) <= 10
+    big = np.array([mixing._draw(rng, 4 * 10**11, 6 * 10**11, 10**9) for _ in range(30)])
+    assert abs(big.mean() - 4e8) < 6 * 15500 / 30**0.5 and 7000 < big.std() < 30000
+    # the inverted distribution where both ways can be taken
+    source = __import__("inspect").getsource(mixing._draw).replace("if n < 1_000_000_000:", "if n < 0:")
+    scope = {"np": np}
+    exec(source, scope)
+    own = np.array([scope["_draw"](rng, good, bad, take) for _ in range(4000)])
+    assert abs(own.mean() - real.mean()) < 0.6 and abs(own.std() - real.std()) < 0.4
+
+
 @pytest.fixture(scope="module")
 def levels(spark):
     rng = random.Random(7)
