@@ -117,11 +117,13 @@ def _hypergeometric(rng: np.random.Generator, have: np.ndarray, take: int) -> np
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """How many of `take` copies drawn from good + bad are good. Where the library's sampler ends, at a billion, the distribution is inverted instead: its
-    terms are summed over twelve deviations to either side of its peak, beyond which less lies than a double can tell."""
+    """How many of `take` copies drawn from good + bad are good; the library's sampler ends at a billion."""
+    return int(rng.hypergeometric(good, bad, take)) if good + bad < 1_000_000_000 else _inverted(rng, good, bad, take)
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """The same draw by inverting the distribution: its terms are summed over twelve deviations to either side of its peak, beyond which less lies than a double can tell."""
     n = good + bad
-    if n < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, take))
     low, high = max(0, take - bad), min(good, take)
     peak = min(max((take + 1) * (good + 1) // (n + 2), low), high)
     reach = int(12 * np.sqrt(take * (good / n) * (bad / n) * ((n - take) / (n - 1)))) + 12

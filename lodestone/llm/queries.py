@@ -31,7 +31,7 @@ def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = entity_match.match_entities(table(spark, sf_dir, "structures"), table(spark, sf_dir, "measured_crystals"))
-    return m.where("exact and confidence > 0").select("seq", "ref_id")
+    return m.where(F.col("exact") & (F.col("confidence") >= entity_match.CERTAIN)).select("seq", "ref_id")
 
 
 def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
