@@ -13,6 +13,7 @@ from math import gcd
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, MapType, StringType
 
 from lodestone.functions.formula import parse_formula
 
@@ -41,9 +42,12 @@ def parse_flat(text: Column) -> Column:
     return sum_by_key(F.transform(found, lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.nullif(p["value"], F.lit("")).try_cast("double"), F.lit(1.0)).alias("value"))))
 
 
-@F.pandas_udf("map<string,double>")
-def _parse_nested(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else parse_formula(t.replace("@", "")) or {})
+def _parse_nested(text: Column) -> Column:
+    @F.pandas_udf(MapType(StringType(), DoubleType()))
+    def nested(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else parse_formula(x.replace("@", "")) or {})
+
+    return nested(text)
 
 
 def parse(text: Column) -> Column:
@@ -117,7 +121,7 @@ def reduce_quantities(values: list[float], tolerance: float = 1e-4) -> list[int]
 def reduce_formula(formula: Column, tolerance: float = 1e-4) -> Column:
     """Quantities as the smallest whole numbers in their ratio. Whole quantities stay in the JVM; fractions go through an Arrow UDF."""
 
-    @F.pandas_udf("map<string,bigint>")
+    @F.pandas_udf(MapType(StringType(), LongType()))
     def fractions(f: pd.Series) -> pd.Series:
         return f.map(lambda m: None if m is None else dict(zip(m, reduce_quantities(list(m.values()), tolerance))) if len(m) else {})
 
