@@ -93,30 +93,45 @@ class TestSet:
         length = min((sum(map(len, w[k : k + min_words])) for _, w in held for k in range(len(w) - min_words + 1)), default=0)
         self.k = max(1, length // 2)
         self.w = max(1, length - self.k + 1)
-        prints = [fingerprints("".join(w).encode(), self.k, self.w) for _, w in held]
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(p) for p in prints])
-        value = np.concatenate([*prints, np.zeros(0, np.uint64)])
+        parts = [self._prints(w) for _, w in held]
+        value = np.concatenate([*(p[0] for p in parts), np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(p[0]) for p in parts])
         order = np.argsort(value, kind="stable")
         self.prints, self.owner = value[order], owner[order]
+        self.first, self.last = (np.concatenate([*(p[k] for p in parts), np.zeros(0, np.int32)])[order] for k in (1, 2))
+
+    def _prints(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints of a passage, one for each place, and the first and last of the windows that hold the whole k-gram: a shared window shares one inside it."""
+        h = _hashes(np.frombuffer("".join(words).encode(), np.uint8), self.k)
+        at = np.flatnonzero(np.isin(h, np.unique(_minima(h, self.w))))
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+        first = np.maximum(np.searchsorted(begin, at + self.k, "left") - self.min_words, 0)
+        last = np.minimum(np.searchsorted(begin, at, "right") - 1, len(words) - self.min_words)
+        some = first <= last
+        return h[at[some]], first[some].astype(np.int32), last[some].astype(np.int32)
 
     def windows(self, at: int) -> list[str]:
         """Every run of min_words words of an item, joined."""
         w = self.words[at].split(" ")
-        return list(dict.fromkeys("".join(w[k : k + self.min_words]) for k in range(len(w) - self.min_words + 1)))
+        return ["".join(w[k : k + self.min_words]) for k in range(len(w) - self.min_words + 1)]
 
 
 class _Text:
-    """A text as a stream of letters and digits, with the places where words begin or end."""
+    """A text as a stream of letters and digits, and, once asked for, the places where words begin or end."""
 
     def __init__(self, text: str):
-        self.stream = text.replace(" ", "")
-        gaps = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-        self.edge = set((gaps - np.arange(len(gaps))).tolist()) | {0, len(self.stream)}
+        self.text, self.stream, self.edge = text, text.replace(" ", ""), None
+
+    def edges(self) -> set[int]:
+        if self.edge is None:
+            gaps = np.flatnonzero(np.frombuffer(self.text.encode(), np.uint8) == 32)
+            self.edge = set((gaps - np.arange(len(gaps))).tolist()) | {0, len(self.stream)}
+        return self.edge
 
     def holds(self, window: str) -> bool:
         at = self.stream.find(window)
         while at >= 0:
-            if at in self.edge and at + len(window) in self.edge:
+            if at in self.edges() and at + len(window) in self.edges():
                 return True
             at = self.stream.find(window, at + 1)
         return False
@@ -130,14 +145,14 @@ def _search(test: TestSet):
         for b in batches:
             texts = [spaced(t) if t else "" for t in b.column(1).to_pylist()]
             docs, items, known = [], [], {}
-            for d, at in _candidates(texts, test):
+            for (d, at), (first, last) in _candidates(texts, test):
                 if at not in made:
                     if len(made) >= 1000:
                         made.clear()
                     made[at] = test.windows(at)
                 if d not in known:
                     known = {d: _Text(texts[d])}
-                if any(map(known[d].holds, made[at])):
+                if any(map(known[d].holds, made[at][first : last + 1])):
                     docs.append(d)
                     items.append(test.items[at])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64())], schema=out)
@@ -145,8 +160,8 @@ def _search(test: TestSet):
     return run
 
 
-def _candidates(texts: list[str], test: TestSet) -> list[tuple[int, int]]:
-    """(text, item) that share a fingerprint, both as places."""
+def _candidates(texts: list[str], test: TestSet) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(text, item) that share a fingerprint, both as places, and the first and last of the item's windows that hold one."""
     streams = [t.replace(" ", "").encode() for t in texts]
     need = test.k + test.w - 1
     long = [i for i, s in enumerate(streams) if len(s) >= need]
@@ -163,8 +178,13 @@ def _candidates(texts: list[str], test: TestSet) -> list[tuple[int, int]]:
     # a run of equal minima may reach into the next texts
     reach = np.append(at[1:], len(m))[hit]
     first, last = np.searchsorted(start, at[hit], "right") - 1, np.searchsorted(start, reach - 1, "right") - 1
-    found = {(long[j], int(o)) for a, z, x, y in zip(first, last, lo[hit], hi[hit]) for j in range(a, min(z, len(long) - 1) + 1) for o in test.owner[x:y]}
-    return sorted(found)
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for a, z, x, y in zip(first.tolist(), last.tolist(), lo[hit].tolist(), hi[hit].tolist()):
+        for o, u, v in zip(test.owner[x:y].tolist(), test.first[x:y].tolist(), test.last[x:y].tolist()):
+            for j in range(a, min(z, len(long) - 1) + 1):
+                old = found.get((long[j], o))
+                found[long[j], o] = (min(u, old[0]), max(v, old[1])) if old else (u, v)
+    return sorted(found.items())
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 12, hold: int = 2_000_000) -> DataFrame:
