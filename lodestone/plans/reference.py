@@ -220,26 +220,6 @@ def min_max_hull(spark, d):
     return SE.extremes(p, "system", "x", "y").select("system", "x", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("""WITH k AS (SELECT bands_id, k_idx, max(CASE WHEN occ > 1e-6 THEN energy END) v, min(CASE WHEN occ <= 1e-6 THEN energy END) c FROM output_bands WHERE energy IS NOT NULL AND occ IS NOT NULL GROUP BY ALL)
-SELECT bands_id, max(v) vbm, min(c) cbm, round(min(c) - max(v), 6) gap, round(min(c - v), 6) direct_gap FROM k GROUP BY bands_id""")
-def band_gap(spark, d):
-    g = B.band_gaps(table(spark, d, "output_bands"))
-    return g.select("bands_id", "vbm", "cbm", F.round("gap", 6).alias("gap"), F.round("direct_gap", 6).alias("direct_gap"))
-
-
-_PT = "pt AS (SELECT bands_id, coalesce(spin, 'none') spin, band, k_idx, max(energy) energy FROM output_bands WHERE energy IS NOT NULL GROUP BY ALL)"
-
-
-@query(f"WITH {_PT} SELECT bands_id, floor(energy / 0.5)::BIGINT bin, count(*) states FROM pt GROUP BY ALL")
-def dos_histogram(spark, d):
-    return B.density_of_states(table(spark, d, "output_bands"), 0.5).select("bands_id", F.col("bin").cast("long").alias("bin"), "states")
-
-
-@query(f"WITH {_PT} SELECT bands_id, spin, band, min(energy) lowest, max(energy) highest FROM pt GROUP BY ALL")
-def band_width(spark, d):
-    return B.band_widths(table(spark, d, "output_bands")).drop("mean")
-
-
 @query("""WITH s AS (SELECT event_type, epoch(ts) x, value y, lead(epoch(ts)) OVER w nx, lead(value) OVER w ny FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch(ts)))
 SELECT event_type, round(sum((nx - x) * (ny + y) / 2), 1) area FROM s GROUP BY event_type""")
 def series_area(spark, d):
@@ -251,11 +231,3 @@ def series_area(spark, d):
 def series_peaks(spark, d):
     e = table(spark, d, "events").select("event_type", F.col("ts").alias("x"), F.col("value").alias("y"))
     return B.peaks(e, "event_type", "x", "y", 100.0).select("event_type", "y")
-
-
-@query("""WITH t AS (SELECT bands_id, k_idx, max(CASE WHEN band = 0 THEN energy END) a, max(CASE WHEN band = 1 THEN energy END) b FROM output_bands GROUP BY ALL)
-SELECT bands_id, round(corr(a, b), 4) r, count(*) n FROM t WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY bands_id HAVING count(*) > 2 AND var_pop(a) > 1e-9 AND var_pop(b) > 1e-9""")
-def series_corr(spark, d):
-    t = table(spark, d, "output_bands").groupBy("bands_id", "k_idx").agg(F.max(F.when(F.col("band") == 0, F.col("energy"))).alias("a"), F.max(F.when(F.col("band") == 1, F.col("energy"))).alias("b"))
-    t = t.where("a is not null and b is not null").groupBy("bands_id").agg(F.round(F.corr("a", "b"), 4).alias("r"), F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
-    return t.where("n > 2 and va > 1e-9 and vb > 1e-9").select("bands_id", "r", "n")
