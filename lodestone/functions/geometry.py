@@ -26,7 +26,8 @@ def norm(u: Column) -> Column:
 
 def angle(u: Column, v: Column) -> Column:
     """Angle between two vectors in radian, 0 to pi; null if one has no length."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.nullif(norm(u) * norm(v), F.lit(0.0)))))
+    length = norm(u) * norm(v)  # greatest and least pass over nulls, so the case is told apart first
+    return F.when(length > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / length))))
 
 
 def dihedral(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.functions import units as U
 from lodestone.operators import cif_rows, flatten, unit_repair
 from lodestone.session import table
 
@@ -78,8 +79,32 @@ err AS (SELECT row_id, min(sev) sev FROM bad WHERE sev IS NOT NULL GROUP BY row_
 """
 
 
+_ENERGY = r"(?:milli[\s-]?(?:ev|electron\s?volts?)|mev|electron\s?volts?|ev|hartrees?|ha|a\.u\.|rydbergs?|ryd|ry|kj|kcal|terahertz|thz|cm\s?\^?-1|cm\^\{-1\}|1\s?/\s?cm)"
+_GONE_TEXT = ", ".join(f"'{t}'" for t in U.NO_TEXT)
+_GONE = ", ".join(repr(x) for x in U.NO_NUMBER)
+_REAL = f"CASE WHEN isnan({{0}}) OR isinf({{0}}) OR {{0}} IN ({_GONE}) THEN NULL ELSE {{0}} END"
+_NUMBER_IN = r"try_cast(nullif(regexp_extract({0}, '([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)', 1), '') AS DOUBLE)"
+#: Formation energies with their units in SQL: the first text that states a unit of energy, its word and the basis after it.
+_P3 = f"""a AS (SELECT *, attributes['formation_energy'] fe FROM structures),
+n0 AS (SELECT *, {_REAL.format('formation_energy')} c, {_REAL.format('fe.d')} dd, CASE WHEN lower(trim(fe.s)) IN ({_GONE_TEXT}) THEN NULL ELSE trim(fe.s) END st FROM a),
+n1 AS (SELECT *, {_NUMBER_IN.format('st')} s0 FROM n0), n2 AS (SELECT *, {_REAL.format('s0')} ss FROM n1),
+n3 AS (SELECT *, CASE WHEN ss IS NOT NULL THEN regexp_replace(fe.s, '(?i)^\\s*e_?f\\s*=', '') END ot FROM n2),
+n4 AS (SELECT *, coalesce(c, dd, ss) energy, CASE WHEN c IS NOT NULL THEN [formation_energy_unit, fe.unit, ot, note] WHEN dd IS NOT NULL THEN [fe.unit, formation_energy_unit, note] ELSE [ot, fe.unit, formation_energy_unit, note] END ts FROM n3),
+n5 AS (SELECT *, lower([t for t in ts if t IS NOT NULL AND regexp_matches(lower(t), '(?:^|[^a-z]){_ENERGY}(?:$|[^a-z])')][1]) t FROM n4),
+n6 AS (SELECT *, regexp_replace(regexp_extract(t, '(?:^|[^a-z])({_ENERGY})(?:$|[^a-z])', 1), '[\\s^{{}}.-]', '', 'g') w, regexp_extract(regexp_extract(t, '(?s)(?:^|[^a-z]){_ENERGY}($|[^a-z].*)', 1), '^[\\s_]*(?:\\(ha\\))?[\\s_]*(?:per|/|\\()?[\\s_]*(atoms?|at\\b|unit\\s?cell|cell|mol)?', 1) basis FROM n5),
+n7 AS (SELECT *, CASE WHEN w IN ('kj', 'kcal') THEN w || '_per_mol' ELSE (CASE WHEN w IN ('mev', 'milliev', 'millielectronvolt', 'millielectronvolts') THEN 'mev' WHEN w IN ('hartree', 'hartrees', 'ha', 'au') THEN 'ha' WHEN w IN ('rydberg', 'rydbergs', 'ryd', 'ry') THEN 'ry' WHEN w IN ('thz', 'terahertz') THEN 'thz'
+  WHEN w IN ('cm1', '1/cm') THEN 'inv_cm' ELSE 'ev' END) || CASE WHEN basis LIKE '%cell' THEN '_per_cell' ELSE '_per_atom' END END un FROM n6),
+n8 AS (SELECT *, CASE WHEN t IS NULL THEN 'ev_per_atom' ELSE un END u, len(cell) = 3 AND list_max([abs(x) for x in flatten(positions)]) <= 2.0 frac, greatest(coalesce(len(elements), 0), 0) nsites FROM n7)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    from lodestone.plans.materials import BAND_UNITS, UNITS_SQL
+
+    units = "[" + ", ".join(f"'{u}'" for u in BAND_UNITS) + "]"
     return {
+        "p3_found": f"WITH {UNITS_SQL}, {_P3} SELECT 'structures' table_name, seq record_id, 'formation_energy' quantity, u found_unit FROM n8 WHERE energy IS NOT NULL AND u <> 'ev_per_atom' UNION ALL SELECT 'structures', seq, 'positions', 'fractional' FROM n8 WHERE frac"
+        f" UNION ALL SELECT 'output_bands', bands_id, 'energy', {units}[u] FROM bu WHERE u <> 1",
+        "p3_bands": f"WITH {UNITS_SQL} SELECT * EXCLUDE (e), e energy_ev FROM ob",
         "p4_found": _P4 + "SELECT row_id, ['quoting', 'column_count', 'bad_number', 'out_of_range'][sev + 1] reason FROM err",
         "p4_clean": _P4 + 'SELECT row_id, block_id, line_no, col "column", v "value", x number FROM n2 WHERE row_id NOT IN (SELECT row_id FROM err)',
     }

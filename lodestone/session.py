@@ -22,11 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_kept: dict[str, tuple] = {}
+
+
+def _forget() -> None:
+    """At the end of the program: what it wrote to the shared folder goes. The JVM outlives the session, so this works after spark.stop(), too."""
+    for root, (jvm, conf) in list(_kept.items()):
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM is gone: nothing more can be done
+            return
+
+
+atexit.register(_forget)
+
+
 class Scratch:
-    """Written tables in the shared folder; `keep` cuts the lineage, `drop` removes a table that nothing reads any more."""
+    """Written tables in the shared folder; `keep` cuts the lineage, `drop` removes a table that nothing reads any more, `clear` all of them. What a result still reads
+    stays until the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        _kept[self.root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+
+    def clear(self) -> None:
+        jvm, conf = _kept.pop(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back: what follows survives the loss of executors without computing df again."""
