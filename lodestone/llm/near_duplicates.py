@@ -440,15 +440,16 @@ def _links(similarity: float, site_tol: float, length_tol: float, angle_tol: flo
     return run
 
 
-def duplicate_links(structures: DataFrame, id_col: str = "seq", similarity: float = 0.85, site_tol: float = 0.1, length_tol: float = 0.02, angle_tol: float = 1.0, node_limit: int = 20_000) -> DataFrame:
+def duplicate_links(structures: DataFrame, id_col: str = "seq", similarity: float = 0.85, site_tol: float = 0.1, length_tol: float = 0.02, angle_tol: float = 1.0, node_limit: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """Links (a, b), a < b, between near-duplicate structures; an exact copy is linked to one earlier copy only, not to all.
 
     Needs id_col (unique, bigint), elements, positions, cell; other columns are ignored, whatever their names. Rows with null, empty or
     uneven elements and positions, or non-finite coordinates, link to nothing. A null or singular cell makes a molecule, compared
-    up to rotation. An empty table gives no links. The result depends on neither partitioning nor order, but for which earlier copy a twin names.
+    up to rotation. An empty table gives no links. The classes that links form depend on neither partitioning nor order; which links join a class may. `scratch` holds the
+    index rows; the caller may clear it once the links are kept.
     """
     spark = structures.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = scratch or Scratch(spark, "near-duplicates")
     rows = structures.select(F.col(id_col).cast("long").alias("id"), "elements", "positions", "cell").where("id is not null")
     rows = scratch.keep(rows.mapInArrow(_prepare(similarity, length_tol, angle_tol), ROW_DDL))
     # nodes over the limit are cut into tiles: home rows go to one tile of each pair of tiles, so that each pair still meets once
@@ -467,9 +468,17 @@ def duplicate_links(structures: DataFrame, id_col: str = "seq", similarity: floa
     return parted.mapInArrow(_links(similarity, site_tol, length_tol, angle_tol), "a long, b long")
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """(node, links): how many of the links that join the classes each record is an end of."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("links"))
+
+
 def duplicate_groups(structures: DataFrame, id_col: str = "seq", **how) -> DataFrame:
     """(id, group): one row for each record that has a near-duplicate; group is the smallest id of the group. See `duplicate_links`."""
-    links = Scratch(structures.sparkSession, "near-duplicate-links").keep(duplicate_links(structures, id_col, **how))
+    index = Scratch(structures.sparkSession, "near-duplicates")
+    links = Scratch(structures.sparkSession, "near-duplicate-links").keep(duplicate_links(structures, id_col, scratch=index, **how))
+    index.clear()
     return connected_components(links).select(F.col("node").alias(id_col), F.col("component").alias("group"))
 
 
