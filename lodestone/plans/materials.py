@@ -270,3 +270,51 @@ def fragments(spark, d):
     from lodestone.operators import graphs
 
     return graphs.fragments(_s(spark, d).where("cell is not null"), 2.2)
+
+
+@query()
+def point_groups(spark, d):
+    """Point groups of molecules."""
+    from lodestone.operators import symmetry
+
+    return symmetry.point_groups(_s(spark, d))
+
+
+@query()
+def hydrogen_bonds(spark, d):
+    from lodestone.operators import graphs
+
+    return graphs.hydrogen_bonds(_s(spark, d))
+
+
+@query()
+def warren_cowley(spark, d):
+    """Order parameters of the first two shells of crystals."""
+    from lodestone.operators import neighbours as N
+
+    w = N.warren_cowley(_s(spark, d).where("cell is not null"), 1, 8.0)
+    return w.groupBy("seq", "element", "shell").agg(F.round(F.avg("value"), 5).alias("value"))
+
+
+@query(f"WITH {_STRUCT} SELECT seq, label, len(els)::BIGINT nr_atoms, round(len([e for e in els if e = 'Cs']) / n_sites, 6) el_conc_cs, round(len([e for e in els if e = 'Te']) / n_sites, 6) el_conc_te, len([e for e in els if e = 'Cs'])::BIGINT nr_cs, attributes['band_gap'].d band_gap FROM st JOIN structures USING (seq, label) WHERE label IS NOT NULL")
+def el_concentration_pivot(spark, d):
+    from lodestone.operators import tables
+
+    t = tables.wide_table(_s(spark, d).where("label is not null"), elements=["Cs", "Te"]).join(_s(spark, d).select("seq", F.col("attributes")["band_gap"]["d"].alias("band_gap")), "seq")
+    return t.select("seq", "label", F.col("nr_atoms").cast("long").alias("nr_atoms"), _r("el_conc_Cs", 6, "el_conc_cs"), _r("el_conc_Te", 6, "el_conc_te"), F.col("nr_atoms_Cs").cast("long").alias("nr_cs"), "band_gap")
+
+
+@query(f"WITH {_STRUCT}, u AS (SELECT seq, list_sort(list_distinct([e for e in els if e IS NOT NULL])) s FROM st) SELECT seq, list_aggregate(s, 'string_agg', '-') system FROM u WHERE len(s) > 0 AND len([e for e in s if e NOT IN ('Cs', 'Te', 'O', 'Sb')]) = 0")
+def element_subset_powerset(spark, d):
+    """Structures of all chemical systems within Cs-O-Sb-Te."""
+    from lodestone.operators import tables
+
+    return tables.subsystems(_s(spark, d), ["Cs", "Te", "O", "Sb"])
+
+
+@query(_KEYED + " SELECT seq, formula FROM rk WHERE formula IN ('CsTe', 'Cs2Te', 'Cs3Te', 'CsTe2', 'Cs3Te2', 'CsTe3', 'Cs2Te3')")
+def formula_series(spark, d):
+    """Structures whose reduced formula is one of the series of Cs and Te with up to three atoms each."""
+    from lodestone.operators import compare, tables
+
+    return _s(spark, d).select("seq", compare.reduced_formula_key().alias("formula")).where(F.col("formula").isin(*tables.formula_series(["Cs", "Te"], 3)))

@@ -229,3 +229,48 @@ def test_gaps(spark):
     assert {(r.band, r.k_idx): r.shifted for r in bands.shift_to_vbm(spark.createDataFrame(rows, ddl)).collect()} == {(0, 0): -1.0, (0, 1): 0.0, (1, 0): 2.0, (1, 1): 1.5}
     assert bands.sum_densities(spark.createDataFrame([("Cs", "s", 0.0, 1.0), ("Cs", "p", 0.0, 2.0), ("Te", "s", 0.0, 4.0)], "kind string, orbital string, energy double, value double"), ["kind"]).where("kind = 'Cs'").first().value == 3.0
     assert bands.band_gaps(spark.createDataFrame([], ddl)).count() == 0
+
+
+def _ring(n, r, z=0.0, turn=0.0):
+    return [(r * math.cos(2 * math.pi * k / n + turn), r * math.sin(2 * math.pi * k / n + turn), z) for k in range(n)]
+
+
+GROUPS = {
+    "C2v": ([8, 1, 1], [(0, 0, 0), (0.757, 0.586, 0), (-0.757, 0.586, 0)]), "C3v": ([7, 1, 1, 1], [(0, 0, 0.3), *_ring(3, 0.94)]),
+    "Td": ([6] + [1] * 4, [(0, 0, 0)] + [(a * 0.63, b * 0.63, c * 0.63) for a, b, c in ((1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1))]),
+    "Oh": ([16] + [9] * 6, [(0, 0, 0), (1.56, 0, 0), (-1.56, 0, 0), (0, 1.56, 0), (0, -1.56, 0), (0, 0, 1.56), (0, 0, -1.56)]), "D3h": ([15] + [17] * 5, [(0, 0, 0), *_ring(3, 2.0), (0, 0, 2.1), (0, 0, -2.1)]),
+    "D6h": ([6] * 6 + [1] * 6, _ring(6, 1.4) + _ring(6, 2.48)), "D2h": ([6, 6, 1, 1, 1, 1], [(0.67, 0, 0), (-0.67, 0, 0)] + [(a * 1.23, b * 0.93, 0) for a in (1, -1) for b in (1, -1)]),
+    "D2d": ([6, 6, 6, 1, 1, 1, 1], [(0, 0, 0), (0, 0, 1.3), (0, 0, -1.3), (0.93, 0, 1.87), (-0.93, 0, 1.87), (0, 0.93, -1.87), (0, -0.93, -1.87)]), "D3d": ([6, 6] + [1] * 6, [(0, 0, 0.76), (0, 0, -0.76), *_ring(3, 1.02, 1.16), *_ring(3, 1.02, -1.16, math.pi / 3)]),
+    "C1": ([6, 1, 9, 17, 35], [(0, 0, 0), (0.63, 0.63, 0.63), (0.8, -0.8, -0.8), (-1.0, 1.0, -1.0), (-1.1, -1.1, 1.1)]), "Cs": ([8, 1, 17], [(0, 0, 0), (0.96, 0, 0), (-0.4, 1.6, 0)]), "C2": ([8, 8, 1, 1], [(0, 0.73, 0), (0, -0.73, 0), (0.8, 0.9, 0.5), (-0.8, -0.9, 0.5)]),
+    "C2h": ([6, 6, 1, 1, 17, 17], [(0.67, 0, 0), (-0.67, 0, 0), (1.23, 0.93, 0), (-1.23, -0.93, 0), (1.5, -1.5, 0), (-1.5, 1.5, 0)]), "Dinfh": ([6, 6, 1, 1], [(0, 0, 0.6), (0, 0, -0.6), (0, 0, 1.66), (0, 0, -1.66)]), "Cinfv": ([1, 6, 7], [(0, 0, 0), (0, 0, 1.06), (0, 0, 2.2)]),
+}
+
+
+@pytest.mark.parametrize("name", GROUPS)
+def test_point_groups(name):
+    from lodestone.operators.symmetry import point_group
+
+    rng, (z, x) = np.random.default_rng(0), GROUPS[name]
+    for _ in range(4):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        o = rng.permutation(len(z))
+        assert point_group(np.array(z)[o], ((np.array(x, float) + rng.normal(0, 0.003, (len(z), 3))) @ q + 1)[o])[0] == name
+
+
+def test_tables_and_trees(spark, odd, tmp_path):
+    from lodestone.operators import symmetry, tables
+
+    assert {r.seq: r.point_group for r in symmetry.point_groups(odd).collect()}[1] == "C2v"
+    t = {r.seq: r for r in tables.wide_table(odd).collect()}
+    assert t[1].el_conc_H == 2 / 3 and t[1].nr_atoms_H == 2 and t[0].nr_atoms_Ga == 1 and t[2].nr_atoms == 0 and len(t) == 10
+    assert tables.element_subsets(["Te", "Cs"]) == [("Cs",), ("Te",), ("Cs", "Te")] and tables.formula_series(["Te", "Cs"], 2) == ["CsTe", "CsTe2", "Cs2Te"]
+    assert tables.optimade_filter("Te2Cs4") == 'chemical_formula_reduced="Cs2Te"' and tables.optimade_filter("Te-Cs") == 'elements HAS ONLY "Cs", "Te"'
+    (tmp_path / "a.json").write_text('{"data": [{"id": "x", "attributes": {"lattice_vectors": [[1,0,0],[0,1,0],[0,0,1]], "cartesian_site_positions": [[0,0,0]], "species_at_sites": ["Te"]}}, {"id": "y", "attributes": {}}]}')
+    assert {r.label: r.elements for r in tables.read_optimade(spark, str(tmp_path)).collect()} == {"x": ["Te"], "y": None}
+    tree = {"A": {"b": 1}, "c": 2}
+    assert tables.set_path(tree, ["A", "d", "e"], 3) == {"A": {"b": 1, "d": {"e": 3}}, "c": 2} and tree == {"A": {"b": 1}, "c": 2}
+    assert tables.get_path(tree, ["A", "b"]) == 1 and tables.get_path(tree, ["A", "x"], 0) == 0 and tables.paths(tree) == [(("A", "b"), 1), (("c",), 2)]
+    assert tables.merge_trees(tree, {"A": {"b": 5}, "f": 1}) == {"A": {"b": 5}, "c": 2, "f": 1} and tables.with_case(tree) == {"a": {"b": 1}, "c": 2}
+    assert len(tables.to_pandas(odd)) == 10
+    with pytest.raises(ValueError):
+        tables.to_pandas(odd, limit=3)
