@@ -26,7 +26,7 @@ def site_tuples(indices: Sequence[Index]) -> list[tuple[int, ...]]:
     return list(out)
 
 
-def _measure(tuples: list[tuple[int, ...]], fold: bool):
+def _measure(tuples: list[tuple[int, ...]], fold: bool, apart: float):
     at = np.array(tuples, np.int64).reshape(len(tuples), -1)
     width = at.shape[1]
     names = ["seq", *[f"site_{k + 1}" for k in range(width)], "value"]
@@ -46,8 +46,11 @@ def _measure(tuples: list[tuple[int, ...]], fold: bool):
             x = np.einsum("rtki,rij->rtkj", x, cell)
             if fold:  # the image of every other site that is nearest to the first one
                 shift = np.einsum("mi,rij->rmj", image, cell) * crystal[:, None, None]
-                d = x[:, :, 1:, None] + shift[:, None, None] - x[:, :, :1, None]
-                best = (d**2).sum(-1).argmin(-1)
+                d = ((x[:, :, 1:, None] + shift[:, None, None] - x[:, :, :1, None]) ** 2).sum(-1)
+                best = d.argmin(-1)
+                if apart:
+                    two = np.sqrt(np.partition(d, 1, -1)[..., :2])
+                    clear = ((two[..., 1] - two[..., 0] >= apart) | ~crystal[:, None, None]).all(-1)
                 x[:, :, 1:] += np.take_along_axis(shift[:, None, None].repeat(x.shape[1], 1).repeat(width - 1, 2), best[..., None, None], 3)[..., 0, :]
             if width == 2:
                 v = np.linalg.norm(x[:, :, 1] - x[:, :, 0], axis=-1)
@@ -58,6 +61,8 @@ def _measure(tuples: list[tuple[int, ...]], fold: bool):
                 v = _angle(np.cross(a, c), np.cross(c, e))
             n, t = v.shape
             cols = [np.repeat(ids[enough], t), *[np.tile(at[:, k], n) for k in range(width)], v.reshape(-1)]
+            if fold and apart:
+                cols = [c[clear.reshape(-1)] for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
@@ -69,11 +74,11 @@ def _angle(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.degrees(np.arccos(np.clip((u * v).sum(-1) / length, -1, 1)))
 
 
-def _run(structures: DataFrame, indices: Sequence[Index], fold: bool, name: str) -> DataFrame:
+def _run(structures: DataFrame, indices: Sequence[Index], fold: bool, name: str, apart: float = 0.0) -> DataFrame:
     tuples = site_tuples(indices)
     d = structures.select(F.col("seq").cast("long").alias("seq"), "elements", "positions", "cell").where("seq is not null and elements is not null and positions is not null")
     sites = ", ".join(f"site_{k + 1} long" for k in range(len(indices)))
-    out = d.mapInArrow(_measure(tuples, fold), f"seq long, {sites}, value double")
+    out = d.mapInArrow(_measure(tuples, fold, apart), f"seq long, {sites}, value double")
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).withColumnRenamed("value", name)
 
 
@@ -85,9 +90,12 @@ def site_distances(structures: DataFrame, site_1: Index = 0, site_2: Index = 1,
     return _run(structures, [site_1, site_2], fold, "distance")
 
 
-def site_angles(structures: DataFrame, site_1: Index = 0, site_2: Index = 1, site_3: Index = 2, fold: bool = True) -> DataFrame:
-    """(seq, site_1, site_2, site_3, angle): angle in degrees at site_1 between the nearest images of the others; null where two sites coincide."""
-    return _run(structures, [site_1, site_2, site_3], fold, "angle")
+def site_angles(structures: DataFrame, site_1: Index = 0, site_2: Index = 1, site_3: Index = 2, fold: bool = True, apart: float = 0.0) -> DataFrame:
+    """(seq, site_1, site_2, site_3, angle): angle in degrees at site_1 between the nearest images of the others; null where two sites coincide.
+
+    With `apart`, folded angles for which the second nearest image of one of the others is less than that farther than its nearest, so that either could be meant, have no row.
+    """
+    return _run(structures, [site_1, site_2, site_3], fold, "angle", apart)
 
 
 def site_dihedrals(structures: DataFrame, site_1: Index = 0, site_2: Index = 1, site_3: Index = 2, site_4: Index = 3, fold: bool = True) -> DataFrame:

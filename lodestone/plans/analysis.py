@@ -236,14 +236,8 @@ def distance_min_image(spark, d):
 SELECT seq, round(degrees(acos(greatest(-1, least(1, dt / (d1 * d2))))), 2) angle FROM u WHERE abs(dt / (d1 * d2)) < 0.99999 AND NOT EXISTS (SELECT 1 FROM nr z WHERE z.seq = u.seq AND z.site IN (1, 2) AND z.r = 2 AND z.d - CASE WHEN z.site = 1 THEN u.d1 ELSE u.d2 END < 1e-4)""")
 def angle(spark, d):
     """Angles at the first site; those for which another image is as near, so that either could be meant, are left out, and so are straight ones."""
-    a = SG.site_angles(_crystals(spark, d), 0, 1, 2).where("angle between 0.3 and 179.7")
-    return a.join(_two_nearest(spark, d, 3), "seq", "left_anti").where(F.abs(F.cos(F.radians("angle"))) < 0.99999).select("seq", _r("angle", 2))
-
-
-def _two_nearest(spark, d, sites):
-    """Structures in which an image of one of the sites 1 to sites - 1 is as near to the first site as its nearest one."""
-    n = N.pairs(_crystals(spark, d), 14.0).where((F.col("site") == 0) & F.col("nbr").between(1, sites - 1)).groupBy("seq", "nbr").agg(F.slice(F.sort_array(F.collect_list("distance")), 1, 2).alias("d"))
-    return n.where((F.size("d") > 1) & (F.get("d", F.lit(1)) - F.get("d", F.lit(0)) < 1e-4)).select("seq").distinct()
+    a = SG.site_angles(_crystals(spark, d), 0, 1, 2, apart=1e-4).where("angle between 0.3 and 179.7")
+    return a.where(F.abs(F.cos(F.radians("angle"))) < 0.99999).select("seq", _r("angle", 2))
 
 
 @query(f"""WITH c AS (SELECT seq, cell FROM structures WHERE cell IS NOT NULL), v AS (SELECT seq, cell[1][1] ax, cell[1][2] ay, cell[1][3] az, cell[2][1] bx, cell[2][2] by_, cell[2][3] bz, cell[3][1] cx, cell[3][2] cy, cell[3][3] cz FROM c),
