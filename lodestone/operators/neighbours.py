@@ -9,6 +9,7 @@ Rows that can't be read (null, empty or uneven sites) give no rows. Structures a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from lodestone.operators.voronoi import cells_of
 
 LABEL = np.array([None, *SYMBOLS], object)
 BLOCK = 4_000_000  # distances that are held at a time
+PAIRS = 100_000  # pairs whose Voronoi cells are cut at a time
 METHODS = ("minimum_distance", "n_nearest_neighbours", "atomic_radius", "econ", "voronoi", "radius")
 
 
@@ -30,20 +32,25 @@ class Shell:
     def __init__(self, z: np.ndarray, i: np.ndarray, j: np.ndarray, step: np.ndarray, image: np.ndarray, cart: np.ndarray, volume: float):
         dist = np.sqrt((step**2).sum(1))
         order = np.lexsort((j, np.round(dist, 6), i))
-        self.z, self.cart, self.volume = z, cart, volume
+        self.z, self.cart, self.volume, self.cells = z, cart, volume, None
         self.i, self.j, self.step, self.image, self.dist = i[order], j[order], step[order], image[order], dist[order]
         self.first = np.searchsorted(self.i, np.arange(len(z) + 1))
         self.rank = np.arange(len(i)) - self.first[self.i]
 
     def keep(self, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[Shell, np.ndarray | None]:
         out = object.__new__(Shell)
-        out.z, out.cart, out.volume = self.z, self.cart, self.volume
+        out.z, out.cart, out.volume, out.cells = self.z, self.cart, self.volume, None
         out.i, out.j, out.step, out.image, out.dist = self.i[mask], self.j[mask], self.step[mask], self.image[mask], self.dist[mask]
         out.first = np.searchsorted(out.i, np.arange(len(self.z) + 1))
         out.rank = np.arange(len(out.i)) - out.first[out.i]
         return out, None if weight is None else weight[mask]
 
 
+@lru_cache(64)
+def _grid(a: int, b: int, c: int) -> np.ndarray:
+    return np.stack(np.meshgrid(*[np.arange(-k, k + 1) for k in (a, b, c)], indexing="ij"), -1).reshape(-1, 3)
+
+
 def shells(s: Sites, r_max: float) -> Iterator[tuple[int, Shell]]:
     """(row, pairs within r_max) for each structure of a batch that can be read; partners are searched in as many cells as r_max reaches."""
     frac = s.fractions()
@@ -52,25 +59,55 @@ def shells(s: Sites, r_max: float) -> Iterator[tuple[int, Shell]]:
         if s.crystal[r]:
             cell = s.cells[r]
             reach = np.ceil(r_max * np.linalg.norm(np.linalg.inv(cell), axis=0)).astype(int)
-            grid = np.stack(np.meshgrid(*[np.arange(-k, k + 1) for k in reach], indexing="ij"), -1).reshape(-1, 3)
+            grid = _grid(*reach.tolist())
             image = grid @ cell
             cart, volume = (x - np.floor(x)) @ cell, float(abs(np.linalg.det(cell)))
+            # images that are too far for any two sites, to within rounding
+            some = np.sqrt((image**2).sum(1)) <= r_max + np.linalg.norm(cart.max(0) - cart.min(0)) + 1e-6
+            grid, image = grid[some], image[some]
         else:
             grid, image, cart, volume = np.zeros((1, 3), int), np.zeros((1, 3)), x, float("nan")
         home = int(np.flatnonzero((grid == 0).all(1))[0])
         parts = []
         step = max(1, BLOCK // (len(image) * len(x)))
+        square = (image**2).sum(1)
         for a in range(0, len(x), step):
-            d = (cart[None, :, None] + image[None, None] - cart[a : a + step, None, None]).astype(float)
-            near = (d**2).sum(3) <= r_max * r_max
             own = np.arange(a, min(a + step, len(x)))
+            # near ones by one product, a little beyond r_max; what counts is the step itself
+            apart = (cart[None] - cart[own, None]).astype(float)
+            near = 2 * (apart.reshape(-1, 3) @ image.T) + (apart.reshape(-1, 3) ** 2).sum(1)[:, None] + square
+            near = (near <= r_max * r_max + 1e-6 * (1 + r_max * r_max)).reshape(len(own), len(x), len(image))
             near[own - a, own, home] = False
             i, j, k = np.nonzero(near)
-            parts.append((i + a, j, d[i, j, k], grid[k]))
+            d = cart[j] + image[k] - cart[i + a]
+            use = (d**2).sum(1) <= r_max * r_max
+            parts.append((i[use] + a, j[use], d[use], grid[k[use]]))
         i, j, d, k = (np.concatenate(p) for p in zip(*parts))
         yield int(r), Shell(z, i, j, d, k, cart, volume)
 
 
+def shells_for(method: str, weight_type: str | None = "rel_solid_angle", **_) -> Callable[[Sites, float], Iterator[tuple[int, Shell]]]:
+    """How `shells` are found for a method: with their Voronoi cells, which are cut for many structures at a time, if it needs them."""
+
+    def find(s: Sites, r_max: float) -> Iterator[tuple[int, Shell]]:
+        held: list[tuple[int, Shell]] = []
+        size = 0
+        for r, shell in shells(s, r_max):
+            held.append((r, shell))
+            size += len(shell.i)
+            if size >= PAIRS:
+                yield from cut(held)
+                held, size = [], 0
+        yield from cut(held)
+
+    def cut(held: list[tuple[int, Shell]]) -> list[tuple[int, Shell]]:
+        for (_, shell), cells in zip(held, cells_of([shell for _, shell in held], weight_type, RADII)):
+            shell.cells = weight_type, *cells
+        return held
+
+    return find if method == "voronoi" else shells
+
+
 def bonds(shell: Shell, method: str, r_max: float, delta: float = 0.1, k: int = 5, radius_type: str = "chen_manz", radius_delta: float = 0.0, econ_tolerance: float = 0.5, econ_threshold: float = 1e-3, weight_type: str | None = "rel_solid_angle", weight_threshold: float = 0.5) -> tuple[Shell, np.ndarray | None]:
     """The pairs that count as bonds, and their weights where the method has some.
 
@@ -103,7 +140,9 @@ def bonds(shell: Shell, method: str, r_max: float, delta: float = 0.1, k: int =
         w = np.exp(1 - (shell.dist / before[shell.i]) ** 6)
         return shell.keep(w >= econ_tolerance, w)
     if method == "voronoi":
-        w, face = cells_of(shell, weight_type, RADII)
+        kind, w, face = shell.cells or (None, None, None)
+        if w is None or kind != weight_type:
+            w, face = cells_of([shell], weight_type, RADII)[0]
         if weight_type is None:
             return shell.keep(face)
         if weight_type.startswith("rel_"):
@@ -114,14 +153,14 @@ def bonds(shell: Shell, method: str, r_max: float, delta: float = 0.1, k: int =
     raise ValueError(f"method {method!r} is none of {METHODS}")
 
 
-def _kernel(names: list[str], work: Callable[[Shell], list[tuple]], kinds: list[pa.DataType], r_max: float):
+def _kernel(names: list[str], work: Callable[[Shell], list[tuple]], kinds: list[pa.DataType], r_max: float, find=shells):
     """Arrow batches (id, elements, positions, cell) to rows (id, *work(shell)); work returns columns of equal length."""
     schema = pa.schema([("seq", pa.int64()), *zip(names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
-            for r, shell in shells(Sites(b.column(1), b.column(2), b.column(3)), r_max):
+            for r, shell in find(Sites(b.column(1), b.column(2), b.column(3)), r_max):
                 cols = work(shell)
                 out.append((np.full(len(cols[0]), ids[r], np.int64), *cols))
             if out:
@@ -130,9 +169,9 @@ def _kernel(names: list[str], work: Callable[[Shell], list[tuple]], kinds: list[
     return run
 
 
-def _run(structures: DataFrame, names: list[str], ddl: str, work, kinds, r_max: float) -> DataFrame:
+def _run(structures: DataFrame, names: list[str], ddl: str, work, kinds, r_max: float, find=shells) -> DataFrame:
     d = structures.select(F.col("seq").cast("long").alias("seq"), "elements", "positions", "cell").where("seq is not null and elements is not null and positions is not null")
-    return d.mapInArrow(_kernel(names, work, kinds, r_max), f"seq long, {ddl}")
+    return d.mapInArrow(_kernel(names, work, kinds, r_max, find), f"seq long, {ddl}")
 
 
 def pairs(structures: DataFrame, r_max: float = 10.0, method: str = "radius", **how) -> DataFrame:
@@ -143,7 +182,7 @@ def pairs(structures: DataFrame, r_max: float = 10.0, method: str = "radius", **
         return s.i.astype(np.int64), LABEL[s.z[s.i]], s.j.astype(np.int64), LABEL[s.z[s.j]], s.dist, np.full(len(s.i), np.nan) if w is None else w
 
     out = _run(structures, ["site", "element", "nbr", "nbr_element", "distance", "weight"], "site long, element string, nbr long, nbr_element string, distance double, weight double",
-               work, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64()], r_max)
+               work, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64()], r_max, shells_for(method, **how))
     return out.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
 
 
@@ -168,7 +207,7 @@ def coordination_sites(structures: DataFrame, method: str = "atomic_radius", r_m
 
     return _run(structures, ["site", "element", "total_cn", "min_dist", "max_dist", "avg_dist", "neighbours"],
                 "site long, element string, total_cn long, min_dist double, max_dist double, avg_dist double, neighbours array<struct<site_index: long, element: string, distance: double, weight: double>>",
-                work, [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), _NBR], r_max)
+                work, [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), _NBR], r_max, shells_for(method, **how))
 
 
 def _moments(group: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +221,22 @@ def _moments(group: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return mean, dev, high, low
 
 
+def pair_statistics(s: Shell) -> tuple:
+    """Of bonds: (z1, z2, sites with a bond, bonds, mean, deviation, largest and smallest distance, then the same of the number of neighbours) by pair of elements;
+    distances are NaN for pairs without bonds."""
+    kinds, at = np.unique(s.z, return_inverse=True)
+    m = len(kinds)
+    pair = at[s.i] * m + at[s.j]
+    d = _moments(pair, s.dist, m * m)
+    count = np.bincount(pair, minlength=m * m)
+    per = np.bincount(s.i * m + at[s.j], minlength=len(s.z) * m)
+    k = _moments((at[:, None] * m + np.arange(m)).reshape(-1), per.astype(float), m * m)
+    none = np.where(count > 0, 0.0, np.nan)
+    a, b = np.divmod(np.arange(m * m), m)
+    with_bond = np.bincount((at[:, None] * m + np.arange(m)).reshape(-1), per > 0, m * m).astype(np.int64)
+    return kinds[a], kinds[b], with_bond, count.astype(np.int64), *[np.where(count > 0, x, 0.0) + none for x in d], *k
+
+
 def coordination_statistics(structures: DataFrame, method: str = "atomic_radius", r_max: float = 10.0, **how) -> DataFrame:
     """(seq, element, nbr_element, n_sites, n_bonds, distance_avg/stdev/max/min, nrs_avg/stdev/max/min): one row for each pair of elements of a structure.
 
@@ -189,22 +244,12 @@ def coordination_statistics(structures: DataFrame, method: str = "atomic_radius"
     """
 
     def work(shell: Shell):
-        s, _ = bonds(shell, method, r_max, **how)
-        kinds, at = np.unique(s.z, return_inverse=True)
-        m = len(kinds)
-        pair = at[s.i] * m + at[s.j]
-        d = _moments(pair, s.dist, m * m)
-        count = np.bincount(pair, minlength=m * m)
-        per = np.bincount(s.i * m + at[s.j], minlength=len(s.z) * m)
-        k = _moments((at[:, None] * m + np.arange(m)).reshape(-1), per.astype(float), m * m)
-        none = np.where(count > 0, 0.0, np.nan)
-        a, b = np.divmod(np.arange(m * m), m)
-        with_bond = np.bincount((at[:, None] * m + np.arange(m)).reshape(-1), per > 0, m * m).astype(np.int64)
-        return LABEL[kinds[a]], LABEL[kinds[b]], with_bond, count.astype(np.int64), *[np.where(count > 0, x, 0.0) + none for x in d], *k
+        a, b, *rest = pair_statistics(bonds(shell, method, r_max, **how)[0])
+        return LABEL[a], LABEL[b], *rest
 
     stats = [f"{q}_{f}" for q in ("distance", "nrs") for f in ("avg", "stdev", "max", "min")]
     out = _run(structures, ["element", "nbr_element", "n_sites", "n_bonds", *stats], "element string, nbr_element string, n_sites long, n_bonds long, " + ", ".join(f"{c} double" for c in stats),
-               work, [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 8], r_max)
+               work, [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 8], r_max, shells_for(method, **how))
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in stats[:4]})
 
 
@@ -332,4 +377,4 @@ def warren_cowley(structures: DataFrame, max_shells: int = 3, r_max: float = 10.
                     walks = after
         return site, LABEL[shell.z[site]], number.astype(np.int32), value.reshape(-1)
 
-    return _run(structures, ["site", "element", "shell", "value"], "site long, element string, shell int, value double", work, [pa.int64(), pa.string(), pa.int32(), pa.float64()], r_max)
+    return _run(structures, ["site", "element", "shell", "value"], "site long, element string, shell int, value double", work, [pa.int64(), pa.string(), pa.int32(), pa.float64()], r_max, shells_for("voronoi", "area"))
