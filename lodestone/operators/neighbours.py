@@ -359,6 +359,11 @@ def warren_cowley(structures: DataFrame, max_shells: int = 3, r_max: float = 10.
         value = np.zeros((n, max_shells))
         if len(np.unique(shell.z)) > 1:
             s, w = bonds(shell, "voronoi", r_max, weight_type="area", weight_threshold=0.0)
+            if max_shells == 1:  # a single step never meets itself
+                total, own = np.bincount(s.i, w, n), np.bincount(s.i, w * (s.z[s.i] == s.z[s.j]), n)
+                share = np.bincount(s.z)[s.z] / n
+                value[:, 0] = 1 - np.where(total > 0, own / np.where(total > 0, total, 1.0), np.nan) / share
+                return site, LABEL[shell.z[site]], number.astype(np.int32), value.reshape(-1)
             moves = [list(zip(s.j[a:b].tolist(), map(tuple, s.image[a:b].tolist()), w[a:b].tolist())) for a, b in zip(s.first[:-1], s.first[1:])]
             for at in range(n):
                 # walks with the same end and the same sites behind them go on alike
