@@ -7,7 +7,10 @@ elements that weren't there at fitting are left out, missing ones are 0.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from lodestone.functions import formula_columns as FC
 from lodestone.operators import neighbours as N
 from lodestone.operators.access import elements_of
 from lodestone.operators.collection import symbol
+from lodestone.operators.crystals import NUMBER, Sites
+
+BLOCK = 1_000_000  # values of features that are held at a time
 
 
 def fit_elements(structures: DataFrame) -> list[str]:
@@ -40,18 +46,41 @@ def density(structures: DataFrame, elements: list[str]) -> DataFrame:
     return structures.where(F.size("cell") == 3).select("seq", _counts(elements, F.nullif(volume, F.lit(0.0))).alias("features"))
 
 
-def _by_pair(long: DataFrame, pairs: list[tuple[str, str]], values: list[str]) -> DataFrame:
-    """One row a structure: each value of each pair of elements in a fixed place, 0 where there is none. long has one row a structure and pair."""
-    key = F.concat_ws("-", "element", "nbr_element")
-    one = long.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.array(*[F.coalesce(F.col(v), F.lit(0.0)) for v in values]).alias("v")))).alias("m"))
-    cells = [F.coalesce(F.col("m")[f"{a}-{b}"][i], F.lit(0.0)) for a, b in pairs for i in range(len(values))]
-    return one.select("seq", F.array(*cells).alias("features"))
-
-
 def coordination(structures: DataFrame, elements: list[str], method: str = "minimum_distance", r_max: float = 10.0, **how) -> DataFrame:
-    """(seq, features): mean, deviation, largest and smallest number of neighbours and distance of each ordered pair of elements."""
-    names = [f"{q}_{f}" for q in ("nrs", "distance") for f in ("avg", "stdev", "max", "min")]
-    return _by_pair(N.coordination_statistics(structures, method, r_max, **how), list(itertools.product(elements, repeat=2)), names)
+    """(seq, features): mean, deviation, largest and smallest number of neighbours and distance of each ordered pair of elements.
+
+    The vectors are filled in the kernel, a bounded number of values at a time: as columns of a plan they would be eight expressions a pair of elements.
+    """
+    m, find = len(elements), N.shells_for(method, **how)
+    place = np.full(len(N.LABEL), -1)
+    for k, e in enumerate(elements):
+        if e in NUMBER:
+            place[NUMBER[e]] = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = max(1, BLOCK // max(1, 8 * m * m)), []
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for r, shell in find(Sites(b.column(1), b.column(2), b.column(3)), r_max):
+                a, c, _, count, *v = N.pair_statistics(N.bonds(shell, method, r_max, **how)[0])
+                at = np.flatnonzero((place[a] >= 0) & (place[c] >= 0))
+                values = np.where(np.isfinite(v), v, 0.0)[[4, 5, 6, 7, 0, 1, 2, 3]][:, at].T  # numbers first, then distances
+                rows.append((ids[r], (place[a[at]] * m + place[c[at]]), values))
+                if len(rows) >= held:
+                    yield vectors(rows)
+                    rows = []
+        if rows:
+            yield vectors(rows)
+
+    def vectors(rows: list) -> pa.RecordBatch:
+        out = np.zeros((len(rows), m * m, 8))
+        for x, (_, pair, values) in zip(out, rows):
+            x[pair] = values
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (8 * m * m), pa.int32()), pa.array(out.reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], names=["seq", "features"])
+
+    d = structures.select(F.col("seq").cast("long").alias("seq"), "elements", "positions", "cell").where("seq is not null and elements is not null and positions is not null")
+    return d.mapInArrow(run, "seq long, features array<double>")
 
 
 def chemical_order(structures: DataFrame, elements: list[str], max_shells: int = 3, r_max: float = 10.0) -> DataFrame:
@@ -83,11 +112,6 @@ def pair_distribution(structures: DataFrame, elements: list[str], r_max: float =
 
 def coulomb_matrix(structures: DataFrame) -> DataFrame:
     """(seq, features): eigenvalues, by falling size, of the Coulomb matrix of molecules: 0.5 Z^2.4 on the diagonal, Z1 Z2 / distance off it."""
-    import numpy as np
-    import pyarrow as pa
-
-    from lodestone.operators.crystals import Sites
-
     def run(batches):
         for b in batches:
             s, ids, out = Sites(b.column(1), b.column(2), b.column(3)), b.column(0).to_pylist(), []
