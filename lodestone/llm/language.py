@@ -1,9 +1,9 @@
-"""Which texts are mainly English sentences: a classifier on character trigrams, fitted on a bounded sample of the corpus, and words as vectors of hashes.
+"""Which texts are mainly English sentences: a classifier on character trigrams, fitted on the whole corpus, and words as vectors of hashes.
 
-Readers grade English sentences only, so graded documents are examples of what is wanted; there are none of what isn't. A trigram model of the graded texts
-scores a sample of all texts; the sample falls into two parts (the split with the largest variance between parts), and the lower part trains a second
+Readers grade English sentences only, so graded documents are examples of what is wanted; there are none of what isn't. A trigram model of all graded texts
+scores all texts; they fall into two parts (the split with the largest variance between parts), and the lower part trains a second
 model, once more after the texts are told apart by both. A text is English sentences if it is likelier under the first model than under the second and less unlikely than the
-texts of the second are on average, so that a language or kind of log that the sample lacks is turned away too.
+texts of the second are on average, so that a language or kind of log that is in neither is turned away too.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import Scratch
+
 SIGNS = 30  # blank and other, a to z, digit, letter beyond ASCII, sign
 SMOOTH = 5.0  # weight of the bigram model behind a trigram
-LEAST_OTHER = 0.01  # share of the sample below which the lower part is no kind of its own
+BIN = 1e-4  # width of the bins in which scores of all texts are counted to find the split
+LEAST_OTHER = 0.01  # share of the texts below which the lower part is no kind of its own
 MOST_WANTED = 0.05  # share of the graded texts in the lower part beyond which it isn't the unwanted one
 PART = 2_000_000  # bytes of text that are hashed at a time
 
@@ -69,14 +72,15 @@ def _likelihood(counts: np.ndarray) -> np.ndarray:
     return np.log((c + SMOOTH * np.tile(pair, (SIGNS, 1))) / (c.sum(1, keepdims=True) + SMOOTH)).reshape(-1)
 
 
-def split(x: np.ndarray) -> float:
-    """The value that parts numbers into two groups whose means differ most for their sizes."""
-    x = np.sort(x)
+def split(x: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The value that parts numbers into two groups whose means differ most for their sizes. With n, each number stands for so many."""
+    order = np.argsort(x)
+    x, n = x[order], np.ones(len(x)) if n is None else n[order].astype(float)
     if len(x) < 2:
         return -np.inf
-    n, total, k = len(x), x.sum(), np.arange(1, len(x))
-    low = np.cumsum(x)[:-1]
-    between = k * (n - k) * (low / k - (total - low) / (n - k)) ** 2
+    k, low = np.cumsum(n)[:-1], np.cumsum(n * x)[:-1]
+    rest, total = n.sum() - k, (n * x).sum()
+    between = k * rest * (low / k - (total - low) / rest) ** 2
     at = int(between.argmax())
     return float(x[at] + x[at + 1]) / 2
 
@@ -90,10 +94,14 @@ class Sentences:
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood a trigram under english, and what it is above that under other; -inf for texts without trigrams."""
         codes, doc = trigrams(texts)
-        n = np.bincount(doc, minlength=len(texts))
-        mean = lambda v: np.where(n > 0, np.bincount(doc, v[codes], len(texts)) / np.maximum(n, 1), -np.inf)
-        own = mean(self.english)
-        return own, np.where(n > 0, np.inf, -np.inf) if self.other is None else mean(self.english - self.other)
+        own = self.mean(self.english, codes, doc, len(texts))
+        return own, np.where(np.isfinite(own), np.inf, -np.inf) if self.other is None else self.mean(self.english - self.other, codes, doc, len(texts))
+
+    @staticmethod
+    def mean(value: np.ndarray, codes: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
+        """Mean of a value over the trigrams of each of m texts."""
+        n = np.bincount(doc, minlength=m)
+        return np.where(n > 0, np.bincount(doc, value[codes], m) / np.maximum(n, 1), -np.inf)
 
     def accepts(self, texts: list[str]) -> np.ndarray:
         own, above = self.scores(texts)
@@ -103,46 +111,62 @@ class Sentences:
 CHANCE = float(np.log(1 / SIGNS))
 
 
-def _counts(texts: DataFrame, model: Sentences | None, other: str) -> np.ndarray:
-    """Trigram counts over a bounded table of texts; with a model only over those it takes for `other`: 'low' by score, 'above' by comparison."""
+def _counts(texts: DataFrame, model: Sentences | None = None, plainly: bool = False) -> np.ndarray:
+    """Trigram counts over all of a table of texts (plain ones already, if `plainly`); with a model only over those that are less likely under english than under other.
+    Each task sends a row a trigram at most, and their sums come to the driver: SIGNS ** 3 rows, whatever the table's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIGNS**3)
+        total = np.zeros(SIGNS**3, np.int64)
         for b in batches:
-            t = [plain(x) for x in b.column(0).to_pylist()]
+            t = b.column(0).to_pylist() if plainly else [plain(x) for x in b.column(0).to_pylist()]
+            codes, doc = trigrams(t)
             if model is not None:
-                own, above = model.scores(t)
-                t = [x for x, use in zip(t, np.isfinite(own) & ((own < model.floor) if other == "low" else (above < 0))) if use]
-            total += np.bincount(trigrams(t)[0], minlength=SIGNS**3)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["c"])
+                codes = codes[(model.mean(model.english - model.other, codes, doc, len(t)) < 0)[doc]]
+            total += np.bincount(codes, minlength=SIGNS**3)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
+
+    sums = texts.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SIGNS**3)
+    out[sums.code.to_numpy(int)] = sums.n.to_numpy(float)
+    return out
 
-    parts = texts.select("text").mapInArrow(run, "c array<double>").collect()  # one row a task of a bounded sample
-    return np.sum([r.c for r in parts], 0) if parts else np.zeros(SIGNS**3)
 
+def _english_scores(texts: DataFrame, model: Sentences) -> DataFrame:
+    """(text, s): plain texts and their scores under english; texts without trigrams are left out."""
 
-def _english_scores(texts: DataFrame, model: Sentences) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.scores([plain(x) for x in b.column(0).to_pylist()])[0])], names=["s"])
+            t = [plain(x) for x in b.column(0).to_pylist()]
+            own = model.mean(model.english, *trigrams(t), len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(own)], names=["text", "s"]).filter(pa.array(np.isfinite(own)))
+
+    return texts.select("text").mapInArrow(run, "text string, s double")
 
-    return texts.select("text").mapInArrow(run, "s double").toPandas().s.to_numpy()
 
+def fit_sentences(graded: DataFrame, texts: DataFrame) -> Sentences | None:
+    """The classifier from all texts of graded documents and all texts. None without graded texts: then nothing is known.
 
-def fit_sentences(graded: DataFrame, sample: DataFrame) -> Sentences | None:
-    """The classifier from texts of graded documents and a sample of all texts; both tables are bounded by the caller. None without graded texts: then nothing is known."""
-    counts = _counts(graded, None, "")
+    The scores of all texts are counted in bins of BIN, whose means and numbers decide the split; what comes to the driver is bounded by the number of bins and trigrams.
+    """
+    counts = _counts(graded)
     if not counts.sum():
         return None
     first = Sentences(_likelihood(counts), None, -np.inf)
-    scores = _english_scores(sample, first)
-    scores = scores[np.isfinite(scores)]
-    at = split(scores)
-    low = scores[scores < at]
-    wanted = _english_scores(graded, first)
-    if len(low) < LEAST_OTHER * len(scores) or not len(low) or (wanted < at).mean() > MOST_WANTED:
-        return Sentences(first.english, None, CHANCE)
-    second = Sentences(first.english, _likelihood(_counts(sample, Sentences(first.english, None, at), "low")), -np.inf)
-    return Sentences(first.english, _likelihood(_counts(sample, second, "above")), float(low.mean()))
+    scratch = Scratch(texts.sparkSession, "sentences")
+    try:
+        scored = scratch.keep(_english_scores(texts, first))
+        bins = scored.groupBy(F.floor(F.col("s") / BIN).alias("bin")).agg(F.count("*").alias("n"), F.avg("s").alias("s")).toPandas()
+        at = split(bins.s.to_numpy(float), bins.n.to_numpy())
+        low = scored.where(F.col("s") < at)
+        n_low, mean_low = low.agg(F.count("*"), F.avg("s")).first()
+        wanted = _english_scores(graded, first).agg(F.avg((F.col("s") < at).cast("int"))).first()[0]
+        if n_low < LEAST_OTHER * bins.n.sum() or not n_low or (wanted or 0.0) > MOST_WANTED:
+            return Sentences(first.english, None, CHANCE)
+        second = Sentences(first.english, _likelihood(_counts(low, plainly=True)), -np.inf)
+        return Sentences(first.english, _likelihood(_counts(scored, second, plainly=True)), float(mean_low))
+    finally:
+        scratch.clear()
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

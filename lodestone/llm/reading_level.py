@@ -72,17 +72,21 @@ class Words:
 
 
 class Grades:
-    """Graded documents, sorted by id, to look up in a batch."""
+    """All graded documents, a table (doc_id, level) in the shared folder that a task reads once, to look up in a batch."""
 
-    def __init__(self, graded: pd.DataFrame):
-        graded = graded.sort_values("doc_id")
-        self.ids, self.level = graded.doc_id.to_numpy(np.int64), graded.level.to_numpy(float)
+    def __init__(self, path: str):
+        self.path = path
 
     def of(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.ids):
+        known = self.__dict__.get("_known")
+        if known is None:
+            t = pq.read_table(self.path, use_threads=False)
+            order = np.argsort(t["doc_id"].to_numpy())
+            known = self._known = t["doc_id"].to_numpy()[order], t["level"].to_numpy()[order]
+        if not len(known[0]):
             return np.full(len(ids), np.nan)
-        at = np.searchsorted(self.ids, ids).clip(max=len(self.ids) - 1)
-        return np.where(self.ids[at] == ids, self.level[at], np.nan)
+        at = np.searchsorted(known[0], ids).clip(max=len(known[0]) - 1)
+        return np.where(known[0][at] == ids, known[1][at], np.nan)
 
 
 def _scores(b: pa.RecordBatch, word: np.ndarray, weight: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,23 +131,24 @@ def _round(grades: Grades, words: Words, own: float, place):
     return run
 
 
-def reading_scores(documents: DataFrame, labels: DataFrame, levels: int = 4, rounds: int = 8, own: float = 0.3, max_graded: int = 200_000, sample: int = 20_000, settled: float = 0.002) -> tuple[DataFrame, tuple | None]:
+def reading_scores(documents: DataFrame, labels: DataFrame, levels: int = 4, rounds: int = 8, own: float = 0.3, settled: float = 0.002) -> tuple[DataFrame, tuple | None]:
     """(doc_id, score) for every document that is mainly English sentences, and the places of the levels on the score (None without grades).
 
-    At most max_graded graded documents are gathered as clamps; all documents take part in the graph. The classifier of sentences is fitted on about `sample` graded
-    and `sample` other documents, chosen by a hash of their number. Rounds end early when no level's place moves by more than `settled`.
+    All graded documents are clamps, and all documents take part in the graph and in the classifier of sentences. Rounds end early when no level's place moves by more than `settled`.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "reading-level")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     graded = labels.where("doc_id is not null and reading_level is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("reading_level").alias("level"))
-    grades = Grades(graded.orderBy(F.xxhash64("doc_id")).limit(max_graded).toPandas())
-    model = _sentences(scratch, docs, grades, sample)
+    graded = scratch.keep(graded)
+    grades = Grades(graded._lodestone_path)
+    middle = graded.agg(F.avg("level")).first()[0]
+    model = None if middle is None else fit_sentences(docs.mapInArrow(_graded_only(grades), "doc_id long, text string"), docs)
     hashed = scratch.keep(docs.mapInArrow(_featurise(model), "doc_id long, nodes array<long>"))
     vocabulary = scratch.keep(hashed.select(F.explode("nodes").alias("node")).distinct())
     nodes = scratch.keep(hashed.mapInArrow(_number(vocabulary._lodestone_path), "doc_id long, nodes array<int>"))
     scratch.drop(hashed)
-    start = float(grades.level.mean()) if len(grades.level) else (levels + 1) / 2
+    start = (levels + 1) / 2 if middle is None else float(middle)
     size, place, scored = vocabulary.count(), None, None
     words = Words(size, start)
     scratch.drop(vocabulary)
@@ -172,22 +177,6 @@ def reading_scores(documents: DataFrame, labels: DataFrame, levels: int = 4, rou
     return nodes.mapInArrow(final, "doc_id long, score double"), place
 
 
-def _sentences(scratch: Scratch, docs: DataFrame, grades: Grades, sample: int) -> Sentences | None:
-    """The classifier from a bounded sample: a document takes part if its hash lies below the share that gives about `sample` documents."""
-    total = docs.count()
-    if not total or not len(grades.ids):
-        return None
-    h = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit("sentences"), c), 11)  # noqa: E731, 53 bits
-    known = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": grades.ids}), "doc_id long")
-    share = lambda n: F.lit(min(2**53, int(2**53 * min(1.0, sample / max(n, 1)))))
-    graded = scratch.keep(docs.join(known.where(h(F.col("doc_id")) < share(len(grades.ids))), "doc_id", "left_semi"))
-    some = scratch.keep(docs.where(h(F.col("doc_id")) < share(total)))
-    model = fit_sentences(graded, some)
-    scratch.drop(graded)
-    scratch.drop(some)
-    return model
-
-
 def _graded_only(grades: Grades):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
