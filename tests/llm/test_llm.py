@@ -120,6 +120,42 @@ def test_consensus():
     assert survivors.consensus([""], [1.0]) == 0
 
 
+def test_consensus_counts_votes_for_no_token():
+    assert survivors.consensus(["\t", "PBE"], [3.0, 1.0]) == 0
+
+
+RECORD = """seq long, source string, source_id string, elements array<string>, kinds array<string>, positions array<array<double>>, is_cartesian boolean, pbc array<boolean>,
+    cell array<array<double>>, formation_energy double, formation_energy_unit string, attributes map<string, struct<d: double, s: string, b: boolean, j: string, unit: string>>,
+    site_attributes map<string, array<string>>, note string, mtime timestamp"""
+
+
+def received(spark, functionals):
+    """Records of one entry with (source, functional), in order of arrival, and the sources."""
+    none = ([], None, [], None, None, None)
+    data = [(seq, source, "7", *none, None, None, {"functional": (None, f, None, None, None)}, None, None, None) for seq, (source, f) in enumerate(functionals, 1)]
+    return spark.createDataFrame(data, RECORD), spark.createDataFrame([("good", "F", 1), ("poor", "F", 2)], "source string, family string, trust_rank int")
+
+
+def test_survivors_vote_is_taken_where_it_counts(spark):
+    tables = received(spark, [("poor", "PBE+U"), ("good", "PBE"), ("poor", "PBE+U")])
+    best = survivors.surviving_values(*tables)
+    assert [(r.field, r.value, r.from_seq) for r in best.collect()] == [("functional", "PBE", 2)]
+    assert "MapInArrow" not in best._jdf.queryExecution().executedPlan().toString()  # the order alone decides
+    assert [(r.value, r.from_seq) for r in survivors.surviving_values(*tables, weights="count").collect()] == [("PBE+U", 1)]
+    (r,) = survivors.survivors(*tables).collect()
+    assert (r.functional, r.functional_from, r.source, r.attributes_from) == ("PBE", 2, "good", {"functional": 2})
+    assert {k: tuple(v) for k, v in r.outvoted.items()} == {"functional": ("PBE+U", 1, 2), "source": ("poor", 1, 2)}
+    (r,) = survivors.survivors(*tables, weights="count").collect()
+    assert (r.functional, r.functional_from, r.outvoted) == ("PBE+U", 1, {})
+
+
+def test_survivors_vote_is_whole_for_many_values(spark):
+    # two tokens with most votes in their columns, in one value that a single record holds
+    tables = received(spark, [("good", "Y 1")] * 40 + [("poor", f"X {k}") for k in range(1500)])
+    (r,) = survivors.surviving_values(*tables, weights="count").collect()
+    assert (r.value, r.from_seq) == ("X 1", 42)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     vocab = [f"word{i}" for i in range(40)] + ["3.78", "don't"]
