@@ -13,15 +13,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.elements import RADII
 from lodestone.operators.crystals import SYMBOLS, Sites
 from lodestone.operators.voronoi import cells_of
+from lodestone.operators.walks import order_parameters
 
 LABEL = np.array([None, *SYMBOLS], object)
 BLOCK = 4_000_000  # distances that are held at a time
+HELD = 20_000  # sites whose walks are summed up at a time, or those of one structure
 PAIRS = 100_000  # pairs whose Voronoi cells are cut at a time
 METHODS = ("minimum_distance", "n_nearest_neighbours", "atomic_radius", "econ", "voronoi", "radius")
 
@@ -351,6 +354,8 @@ def order_parameter(structures: DataFrame, r_max: float = 15.0, delta: float = 0
 def warren_cowley(structures: DataFrame, max_shells: int = 3, r_max: float = 10.0) -> DataFrame:
     """(seq, site, element, shell, value): 1 - p / c for each site and shell of Voronoi neighbours. p is the share of the site's own element among the ends of
     self-avoiding walks of `shell` steps, weighted by the product of the faces crossed; c is the element's share of all sites. 0 for structures of one element.
+
+    Up to three shells of crystals are summed up for many at a time; molecules, crystals whose cells r_max leaves open and further shells are walked site by site.
     """
 
     def work(shell: Shell):
@@ -359,11 +364,6 @@ def warren_cowley(structures: DataFrame, max_shells: int = 3, r_max: float = 10.
         value = np.zeros((n, max_shells))
         if len(np.unique(shell.z)) > 1:
             s, w = bonds(shell, "voronoi", r_max, weight_type="area", weight_threshold=0.0)
-            if max_shells == 1:  # a single step never meets itself
-                total, own = np.bincount(s.i, w, n), np.bincount(s.i, w * (s.z[s.i] == s.z[s.j]), n)
-                share = np.bincount(s.z)[s.z] / n
-                value[:, 0] = 1 - np.where(total > 0, own / np.where(total > 0, total, 1.0), np.nan) / share
-                return site, LABEL[shell.z[site]], number.astype(np.int32), value.reshape(-1)
             moves = [list(zip(s.j[a:b].tolist(), map(tuple, s.image[a:b].tolist()), w[a:b].tolist())) for a, b in zip(s.first[:-1], s.first[1:])]
             for at in range(n):
                 # walks with the same end and the same sites behind them go on alike
@@ -382,4 +382,30 @@ def warren_cowley(structures: DataFrame, max_shells: int = 3, r_max: float = 10.
                     walks = after
         return site, LABEL[shell.z[site]], number.astype(np.int32), value.reshape(-1)
 
-    return _run(structures, ["site", "element", "shell", "value"], "site long, element string, shell int, value double", work, [pa.int64(), pa.string(), pa.int32(), pa.float64()], r_max, shells_for("voronoi", "area"))
+    names, kinds = ["site", "element", "shell", "value"], [pa.int64(), pa.string(), pa.int32(), pa.float64()]
+    each = _kernel(names, work, kinds, r_max, shells_for("voronoi", "area"))
+    schema = pa.schema([("seq", pa.int64()), *zip(names, kinds)])
+
+    def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        total = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(b.column(1)), 0), np.int64))
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HELD, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for b in batches for part in slices(b)):
+            s = Sites(b.column(1), b.column(2), b.column(3))
+            value, left = order_parameters(s, max_shells, r_max)
+            at = np.repeat(np.flatnonzero(~left[s.row]), max_shells)
+            number = np.tile(np.arange(1, max_shells + 1, dtype=np.int32), len(at) // max_shells)
+            cols = np.asarray(b.column(0))[s.row[at]], at - s.off[s.row[at]], LABEL[s.z[at]], number, value[~left[s.row]].reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
+            if left.any():
+                yield from each(iter([b.filter(pa.array(left))]))
+
+    if max_shells > 3:
+        run = each
+    d = structures.select(F.col("seq").cast("long").alias("seq"), "elements", "positions", "cell").where("seq is not null and elements is not null and positions is not null")
+    return d.mapInArrow(run, "seq long, site long, element string, shell int, value double")

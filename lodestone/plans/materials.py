@@ -289,10 +289,10 @@ def hydrogen_bonds(spark, d):
 
 @query()
 def warren_cowley(spark, d):
-    """Order parameters of the first two shells of crystals."""
+    """Order parameters of the first three shells of crystals, with the reference's own radius of 20 angstrom."""
     from lodestone.operators import neighbours as N
 
-    w = N.warren_cowley(_s(spark, d).where("cell is not null"), 1, 8.0)
+    w = N.warren_cowley(_s(spark, d).where("cell is not null"), 3, 20.0)
     return w.groupBy("seq", "element", "shell").agg(F.round(F.avg("value"), 5).alias("value"))
 
 
